@@ -114,9 +114,15 @@ def _parse(spans: list[dict]) -> list[tuple[int, int, int, int]]:
     return [tuple(f) for f in found]
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(with_text: bool):
     """Batches of (doc_id, spans, text) to what is left of each text."""
-    for batch in batches:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                yield left(batch.slice(at, 256))
+
+    def left(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [], [])
         for spans, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             all_words = (text.as_py() or "").encode().split()
@@ -128,42 +134,45 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     gone[lo:hi] = True
                 all_words = [x for x, g in zip(all_words, gone.tolist(), strict=True) if not g]
             kept = b" ".join(all_words)
-            for column, value in zip(out, (n, n - len(all_words), hashlib.sha256(kept).hexdigest(), kept.decode(), [{"lo": a, "hi": b, "ref_doc": r, "ref_lo": a + s} for a, b, r, s in factors]), strict=True):
+            for column, value in zip(out, (n, n - len(all_words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, [{"lo": a, "hi": b, "ref_doc": r, "ref_lo": a + s} for a, b, r, s in factors]), strict=True):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.large_string(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("ref_doc", pa.int64()), ("ref_lo", pa.int32())])))
         arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
         arrays[3] = arrays[3].cast(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "factors"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "factors"])
+
+    return run
 
 
 def duplicate_spans(documents: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, row_hash, lo, hi, ref, ref_lo): stretches of words that stand in an earlier document, maybe overlapping."""
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
     blocks = written(docs.mapInArrow(_blocks(min_words), "doc_id long, row_hash int, phrase long, block long, lo int, hi int"), "blocks")
-    seen = blocks.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("block") != F.max("block")).alias("several")).where("first < last").drop("last")
+    # Sums are written before they are joined back: a join of two plain exchanges can split a phrase that fills a task.
+    seen = written(blocks.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("block") != F.max("block")).alias("several")).where("first < last").drop("last"), "seen")
     shared = written(blocks.join(seen, "phrase"), "shared")
-    where_first = shared.groupBy("phrase", "block").agg(F.min(F.struct("doc_id", "lo")).alias("at"))
+    where_first = written(shared.groupBy("phrase", "block").agg(F.min(F.struct("doc_id", "lo")).alias("at")), "first")
     placed = shared.join(where_first, ["phrase", "block"])
     whole = placed.where("doc_id > at.doc_id").select("doc_id", "row_hash", "lo", "hi", F.col("at.doc_id").alias("ref"), F.col("at.lo").alias("ref_lo"))
     # Blocks met for the first time: their windows may still stand in another block of the same phrase.
     edge = placed.where("several and doc_id = at.doc_id").groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     loose = edge.join(docs, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "spans", "text")
     windows = written(loose.mapInArrow(_windows(min_words), "doc_id long, row_hash int, one long, two long, lo int"), "windows")
-    least = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "lo")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last").drop("last")
+    least = written(windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "lo")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last").drop("last"), "least")
     parts = windows.join(least, ["one", "two"]).where("doc_id > at.doc_id").select("doc_id", "row_hash", "lo", (F.col("lo") + min_words).alias("hi"), F.col("at.doc_id").alias("ref"), F.col("at.lo").alias("ref_lo"))
     return whole.unionByName(parts)
 
 
-def dedup_substrings(documents: DataFrame, min_words: int = 50) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text, factors (lo, hi, ref_doc, ref_lo)."""
+def dedup_substrings(documents: DataFrame, min_words: int = 50, with_text: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless with_text), factors (lo, hi, ref_doc, ref_lo)."""
     spans = duplicate_spans(documents, min_words).groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("lo", "hi", "ref", "ref_lo")).alias("spans"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
-    return docs.join(spans, ["doc_id", "row_hash"], "left").select("doc_id", "spans", "text").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<lo:int,hi:int,ref_doc:long,ref_lo:int>>")
+    return docs.join(spans, ["doc_id", "row_hash"], "left").select("doc_id", "spans", "text").mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<lo:int,hi:int,ref_doc:long,ref_lo:int>>")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup_substrings(documents).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return dedup_substrings(documents, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 SQL = r"""
