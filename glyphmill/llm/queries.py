@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import substring_dedup
+from glyphmill.llm import decontamination, mixing, near_dedup, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
+    "op3_sharding": sharding.op3,
+    "op4_decontamination": decontamination.op4,
+    "op7_mixing": mixing.op7,
+    "op10_near_dedup": near_dedup.op10,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op4_decontamination": decontamination.SQL,
+    "op7_mixing": mixing.SQL,
+    "op10_near_dedup": near_dedup.SQL,
 }
