@@ -192,12 +192,12 @@ def near_groups(documents: DataFrame, size: int = 5, similarity: int = 75) -> Da
     members = written(families.join(one, "node").select("node", F.col("root").alias("family"), "one.*"), "members")
     sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(sizes, "family").select("doc_id", "row_hash", "node", "family", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    sets = placed.join(docs, ["doc_id", "row_hash"]).select("node", "family", "blocks", "block", "text").mapInArrow(_full_sets(size), "node long, family long, blocks int, block int, items binary")
+    sets = placed.join(docs.hint("merge"), ["doc_id", "row_hash"]).select("node", "family", "blocks", "block", "text").mapInArrow(_full_sets(size), "node long, family long, blocks int, block int, items binary")
     cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "items")
     links = cells.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(_links(similarity), "a long, b long")
     groups = components(links)
     rooted = all_rows.drop("bands").join(groups, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = written(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")  # written, so that the join can split a hot group
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
