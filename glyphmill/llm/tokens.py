@@ -15,6 +15,8 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Everything of ASCII but letters and digits; bytes beyond ASCII count as letters.
+NOT_LETTERS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _VALUE = np.random.default_rng(7919).integers(1, 2**64 - 1, 256, dtype=np.uint64)
@@ -62,9 +64,11 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
 
-    def hashes(self, fold: bool = False) -> np.ndarray:
+    def hashes(self, fold: bool = False, first_bytes: int = 0) -> np.ndarray:
+        """Of whole words, or of their first bytes; fold: with A-Z lower-cased."""
         raw = _FOLD[self.raw] if fold else self.raw
-        return span_hashes(_VALUE[raw], self.starts, self.ends, BASES[0])
+        ends = np.minimum(self.ends, self.starts + first_bytes) if first_bytes else self.ends
+        return span_hashes(_VALUE[raw], self.starts, ends, BASES[0])
 
 
 def raw_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -84,9 +88,10 @@ def raw_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         row = stop
 
 
-def words(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, Words]]:
+def words(texts: pa.Array, most: int = SLICE_BYTES, gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, Words]]:
+    """gaps: for each byte, whether it separates words."""
     for row, raw, offsets in raw_slices(texts, most):
-        gap = _SPACE[raw]
+        gap = gaps[raw]
         inside = ~gap
         edge = np.zeros(len(raw) + 1, bool)
         edge[offsets] = True
