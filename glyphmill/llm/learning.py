@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: At most about so many labelled rows of each class are read to fit a model.
-SAMPLE = 4000
+SAMPLE = 2500
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -122,24 +122,26 @@ class Grammar:
 
 def learned_words(texts: list[str], y: np.ndarray, scale: float) -> dict[int, float]:
     """Hash of each learned word or beginning, with its weight. scale: rows that a clean text stands for against a toxic one."""
-    keys: list[list[np.ndarray]] = [[] for _ in range(1 + len(STEMS))]
-    contexts, toxic = [], []
-    for row, w in words(pa.array(texts, pa.string()), gaps=NOT_LETTERS):
-        for column, h in zip(keys, _keys(w), strict=True):
-            column.append(h)
+    sample = pa.array(texts, pa.string())
+    whole, context, toxic = [], [], []
+    for row, w in words(sample, gaps=NOT_LETTERS):
+        whole.append(w.hashes(fold=True))
         before = np.zeros(len(w.starts), np.uint64)
-        before[1:] = keys[0][-1][:-1]
-        contexts.append(before)
-        toxic.append(np.repeat(y[row : row + len(w.first) - 1], np.diff(w.first)))
-    if not contexts:
+        before[1:] = whole[-1][:-1]
+        context.append(before)
+        toxic.append(np.repeat(y[row : row + len(w.first) - 1] > 0, np.diff(w.first)))
+    if not whole:
         return {}
-    context, bad = np.concatenate(contexts), np.concatenate(toxic) > 0
+    whole, context, bad = np.concatenate(whole), np.concatenate(context), np.concatenate(toxic)
     out: dict[int, float] = {}
-    for k, column in enumerate(keys):
-        h = np.concatenate(column)
+    for k in (0, *STEMS):  # one kind at a time: the driver holds a few numbers a word, no more
+        h = np.concatenate([w.hashes(fold=True, first_bytes=k) ^ np.uint64(k) for _, w in words(sample, gaps=NOT_LETTERS)]) if k else whole
         # A context of a beginning is the whole word with what stands before it.
-        near = mix(context ^ mix(np.concatenate(keys[0]))) if k else context
-        _, index = np.unique(mix(h ^ mix(near + bad.astype(np.uint64))), return_index=True)
+        place = mix(context ^ mix(whole)) if k else context.copy()
+        place += bad
+        place = mix(place)
+        place ^= h
+        _, index = np.unique(place, return_index=True)
         names, place = np.unique(h[index], return_inverse=True)
         seen = np.bincount(place, weights=bad[index], minlength=len(names))
         clean = np.bincount(place, minlength=len(names)) - seen
