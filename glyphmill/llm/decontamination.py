@@ -65,8 +65,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, mo
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The documents in which no test window occurs, with all their columns; copies of one row go or stay together."""
-    bad = hits(documents, benchmark, size).select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_r")).distinct()
-    return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.hash("text") == F.col("_r")), "left_anti")
+    bad = hits(documents, benchmark, size).select("doc_id", "row_hash").distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.hash("text").alias("r"))
+    clean = rows.join(bad, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row_hash")), "left_anti")
+    return clean.select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

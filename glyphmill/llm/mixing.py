@@ -96,12 +96,12 @@ def drawn(documents: DataFrame, most: float = 3.0) -> DataFrame:
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is drawn, dealt by output shard and shuffled there, with the input's columns."""
-    names = documents.columns
-    plan = drawn(documents).where("times > 0").groupBy(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_r"), F.col("source").alias("_s")).agg(F.max("times").alias("_n"), F.first("shards").alias("_h"), F.min("key").alias("_k"))
-    rows = documents.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.hash("text") == F.col("_r")) & F.col("source").eqNullSafe(F.col("_s")))
-    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    rows = rows.withColumn("_o", F.coalesce(F.try_element_at("_h", F.col("_i")), F.pmod("_k", F.lit(1 << LEVELS)).cast("int")))
-    return rows.sortWithinPartitions("_o", F.xxhash64("_k", "_i")).select(*names)
+    plan = drawn(documents).where("times > 0").groupBy("doc_id", "row_hash", "source").agg(F.max("times").alias("n"), F.first("shards").alias("shards"), F.min("key").alias("key"))
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.hash("text").alias("r"), F.col("source").alias("s"))
+    rows = rows.join(plan, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row_hash")) & _same("s", "source"))
+    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    rows = rows.withColumn("home", F.coalesce(F.try_element_at("shards", "draw"), F.pmod("key", F.lit(1 << LEVELS)).cast("int")))
+    return rows.sortWithinPartitions("home", F.xxhash64("key", "draw")).select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -78,11 +78,12 @@ def _slot(hot: list[int]) -> Column:
     return (F.when(F.col("text_hash").isin(hot), F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(SLOTS))).otherwise(even) if hot else even).cast("int")
 
 
-def sharded(documents: DataFrame, shards: int = 8) -> tuple[DataFrame, str]:
-    """(doc_id, size, text_crc32, virtual_slot, shard, slot) for every document, and where the map is stored."""
+def sharded(documents: DataFrame, shards: int = 8, whole_rows: bool = False) -> tuple[DataFrame, str]:
+    """(doc_id, size, text_crc32, virtual_slot, shard, slot) for every document, and where the map is stored; whole_rows: with the row as struct `row`."""
     spark = documents.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    row = [F.struct("*").alias("row")] if whole_rows else []
+    rows = documents.select(*row, F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
     bytes_of = lambda df: {r.k: r.b for r in df.groupBy("k").agg(F.sum("size").alias("b")).collect()}  # noqa: E731  a row per slot
     first = bytes_of(rows.select(_slot([]).alias("k"), "size"))
     most = max(1, sum(first.values()) // (HOT * shards))
@@ -102,7 +103,15 @@ def sharded(documents: DataFrame, shards: int = 8) -> tuple[DataFrame, str]:
     places = spark.createDataFrame(offsets, "virtual_slot int, shard int, begin long")  # SLOTS rows, whatever the input
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_hash", "size"))
     out = placed.withColumn("rank", rank).join(F.broadcast(places), "virtual_slot")
-    return out.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("begin") + F.col("rank") - 1).cast("long").alias("slot")), path
+    return out.select(*(["row"] if whole_rows else []), "doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("begin") + F.col("rank") - 1).cast("long").alias("slot")), path
+
+
+def sharded_documents(documents: DataFrame, shards: int = 8) -> DataFrame:
+    """The documents with size, text_crc32, law, virtual_slot, shard and slot; these replace input columns of the same names."""
+    added = ["size", "text_crc32", "law", "virtual_slot", "shard", "slot"]
+    rows, _ = sharded(documents, shards, whole_rows=True)
+    kept = [F.col("row").getField(c).alias(c) for c in documents.columns if c.lower() not in added]
+    return rows.withColumn("law", F.lit("bytes")).select(*kept, *added)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
