@@ -16,16 +16,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4 == 2, F.lit(True))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(texts, labels, weights) of about `most` rows of each class outside the held-out fold, chosen by a hash of doc_id.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: dict[int, int] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(texts, labels, weights) of about most[class] rows of each class (SAMPLE unless given) outside the held-out fold, chosen by a hash of doc_id.
 
     Only the chosen ids, bounded by `most`, are broadcast; their texts are read to the driver. Weights give each
     class its share among all labelled rows. Copies of a text count once.
     """
+    most = most or {0: SAMPLE, 1: SAMPLE}
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out())
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(F.coalesce(*(F.when(F.col("y") == y, part < most / n) for y, n in counts.items()), F.lit(False))).groupBy("doc_id").agg(F.max("y").alias("y"))
+    chosen = known.where(F.coalesce(*(F.when(F.col("y") == y, part < most[y] / n) for y, n in counts.items()), F.lit(False))).groupBy("doc_id").agg(F.max("y").alias("y"))
     table: pa.Table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("text").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id")).orderBy("doc_id").toArrow()
     texts, y = table.column("text").to_pylist(), np.array(table.column("y").to_pylist(), np.float64)
     got = {k: max(1, int((y == k).sum())) for k in (0, 1)}

@@ -1,0 +1,28 @@
+"""The stages against plain Python on one small corpus."""
+
+import corpus_pipeline
+from glyphmill.llm import decontamination, near_dedup
+
+
+def test_stages_keep_what_they_should(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, seen, data)
+        if name != "sharding":
+            assert out.columns == docs.columns
+        ids = {r.doc_id for r in seen.select("doc_id").collect()}
+        assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= ids
+        if name == "near_duplicates":
+            assert near_dedup.near_groups(out).where("not kept").count() == 0
+            assert near_dedup.near_groups(seen).where("kept").count() == out.count()
+        if name == "decontamination":
+            assert decontamination.contamination(out, spark.read.parquet(f"{data}/benchmark.parquet")).where("contaminated").count() == 0
+        if name == "sharding":
+            assert out.count() == seen.count() and out.where("shard is null or slot is null").count() == 0
+        seen = out
+
+
+def test_run_is_the_stages(spark, data):
+    rows = corpus_pipeline.run(spark, data)
+    assert rows.count() > 0 and len(corpus_pipeline.STAGES) == 5
