@@ -50,9 +50,12 @@ def max_y(quad: Column) -> Column:
 
 def area(quad: Column) -> Column:
     """Shoelace."""
-    x, y = _each(quad, "x"), _each(quad, "y")
-    twice = sum((x[i] * y[(i + 1) % 4] - x[(i + 1) % 4] * y[i] for i in range(4)), F.lit(0.0))
-    return F.abs(twice) / 2
+
+    def half(q: Column) -> Column:
+        x, y = _each(q, "x"), _each(q, "y")
+        return F.abs(sum((x[i] * y[(i + 1) % 4] - x[(i + 1) % 4] * y[i] for i in range(4)), F.lit(0.0))) / 2
+
+    return bound(half, quad)
 
 
 def order_points(quad: Column) -> Column:
@@ -85,15 +88,17 @@ def clip(quad: Column, width: Column, height: Column) -> Column:
 
 def region(quad: Column, image_height: Column) -> Column:
     """upper, lower, or null for a box without height: upper if UPPER_SHARE of its height is above the mark."""
-    top, tall = min_y(quad), max_y(quad) - min_y(quad)
-    above = F.greatest(F.lit(0.0), image_height * UPPER_PART - top)
-    return F.when(tall > 0, F.when(above / tall >= UPPER_SHARE, "upper").otherwise("lower"))
+
+    def place(top: Column, tall: Column) -> Column:
+        above = F.greatest(F.lit(0.0), image_height * UPPER_PART - top)
+        return F.when(tall > 0, F.when(above / tall >= UPPER_SHARE, "upper").otherwise("lower"))
+
+    return bound(lambda q: bound(lambda top, low: place(top, low - top), min_y(q), max_y(q)), quad)
 
 
 def side_lengths(quad: Column) -> Column:
     """struct(w, h) of an ordered quad: the longer of each two opposite sides."""
-    q = [quad[i] for i in range(4)]
-    return F.struct(F.greatest(distance(q[0], q[1]), distance(q[2], q[3])).alias("w"), F.greatest(distance(q[0], q[3]), distance(q[1], q[2])).alias("h"))
+    return bound(lambda q: F.struct(F.greatest(distance(q[0], q[1]), distance(q[2], q[3])).alias("w"), F.greatest(distance(q[0], q[3]), distance(q[1], q[2])).alias("h")), quad)
 
 
 def crop_size(quad: Column) -> Column:
@@ -155,7 +160,7 @@ def largest(quads: Column) -> Column:
 
 def vertical_gap(above: Column, below: Column) -> Column:
     """From the lower edge of an ordered quad to the upper edge of the next."""
-    return F.least(below[0]["y"], below[1]["y"]) - F.greatest(above[3]["y"], above[2]["y"])
+    return bound(lambda a, b: F.least(b[0]["y"], b[1]["y"]) - F.greatest(a[3]["y"], a[2]["y"]), above, below)
 
 
 def between(above: Column, below: Column, width: Column, height: Column) -> Column:
