@@ -85,3 +85,100 @@ def to_details(recognised: DataFrame, pipeline: str) -> DataFrame:
     """The rows that did not fail, in the shape of a details table."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return recognised.where("error is null").select(name.alias("filename"), "image_width", "image_height", F.size("text_regions").alias("num_regions"), "detection_ms", "recognition_ms", "total_ms", "text_regions", F.lit(pipeline).alias("pipeline"))
+
+
+class Detector(Protocol):
+    """Pixels of an encoded image, and the map of text probabilities for a normalised tensor."""
+
+    def decode(self, content: bytes): ...
+
+    def probabilities(self, tensor): ...
+
+
+class Recogniser(Protocol):
+    def decode(self, content: bytes): ...
+
+    def class_scores(self, tensor): ...
+
+
+QUADS = "array<array<struct<x:double,y:double>>>"
+
+
+def detect(images: DataFrame, factory: Callable[[], Detector], limit: int = 640, threshold: float = 0.3, box_threshold: float = 0.6, name: str = "detector") -> DataFrame:
+    """path, content, width, height, quads (rectangles in tensor pixels), ratio_h, ratio_w, detection_ms, error."""
+    from glyphmill.functions import pixels
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        detector = _backend(name, factory, [])
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    image = detector.decode(content)
+                    begin = time.perf_counter()
+                    h, w = image.shape[:2]
+                    ratio = min(limit / max(h, w), 1.0)
+                    th, tw = (max(int(int(s * ratio) / 32) * 32, 32) for s in (h, w))
+                    found = pixels.boxes(detector.probabilities(pixels.detection_tensor(image, th, tw)), threshold, box_threshold)
+                    took = (time.perf_counter() - begin) * 1000
+                    rows.append((path, content, w, h, [[{"x": float(x), "y": float(y)} for x, y in q] for q in found], th / h, tw / w, took, None))
+                except Exception as error:  # noqa: BLE001
+                    rows.append((path, content, None, None, [], None, None, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "content", "width", "height", "quads", "ratio_h", "ratio_w", "detection_ms", "error"]).astype({"width": "Int32", "height": "Int32"})
+
+    return images.select("path", "content").mapInPandas(run, f"path string, content binary, width int, height int, quads {QUADS}, ratio_h double, ratio_w double, detection_ms double, error string")
+
+
+def label_regions(detected: DataFrame, unclip_ratio: float = 1.5) -> DataFrame:
+    """Adds boxes: grown, brought to image pixels, clipped, in reading order, cut to the label's four and to those worth a crop."""
+    from glyphmill.functions import boxes as B
+
+    grown = F.filter(F.transform("quads", lambda q: B.unclip(B.order_points(q), unclip_ratio)), lambda q: q.isNotNull())
+    placed = F.transform(grown, lambda q: B.clip(B.rescale(q, F.col("ratio_w"), F.col("ratio_h")), F.col("width"), F.col("height")))
+    rows = detected.select("*", F.explode(F.array(B.reading_order(placed))).alias("placed"))
+    rows = rows.select("*", F.explode(F.array(B.label_boxes(F.col("placed"), F.col("width"), F.col("height")))).alias("label"))
+    kept = F.filter(F.transform("label", lambda b: F.struct(B.order_points(b["box"]).alias("box"), b["source"].alias("source"))), lambda b: B.is_croppable(b["box"]))
+    return rows.withColumn("boxes", kept).drop("placed", "label", "quads")
+
+
+def recognise_regions(regions: DataFrame, factory: Callable[[], Recogniser], alphabet, batch: int = 6, name: str = "recogniser") -> DataFrame:
+    """Reads each box: batches of crops go through the model in workers, class scores are decoded by column expressions. Returns details with text_regions."""
+    from glyphmill.functions import ctc, pixels
+    from glyphmill.functions.text import blank_marker
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        model = _backend(name, factory, [])
+        for part in batches:
+            scores, times, errors = [], [], []
+            for content, boxes, error in zip(part["content"], part["boxes"], part["error"], strict=True):
+                out: list = [None] * len(boxes)
+                begin = time.perf_counter()
+                try:
+                    if len(boxes) and not error:
+                        image = model.decode(content)
+                        begin = time.perf_counter()
+                        quads = [np.array([[p["x"], p["y"]] for p in b["box"]]) for b in boxes]
+                        sides = [(int(max(np.hypot(*(q[0] - q[1])), np.hypot(*(q[2] - q[3])))), int(max(np.hypot(*(q[0] - q[3])), np.hypot(*(q[1] - q[2]))))) for q in quads]
+                        for group in pixels.batches([w / h for w, h in sides], batch):
+                            got = model.class_scores(pixels.recognition_tensor([pixels.crop(image, quads[i], *sides[i]) for i in group]))
+                            for i, s in zip(group, got, strict=True):
+                                out[i] = [[float(v) for v in step] for step in s]
+                except Exception as failed:  # noqa: BLE001
+                    error, out = f"{type(failed).__name__}: {failed}", []
+                scores.append(out)
+                errors.append(error)
+                times.append((time.perf_counter() - begin) * 1000)
+            yield part.drop(columns=["content"]).assign(scores=scores, recognition_ms=times, error=errors)
+
+    plain = regions.select("path", "content", "width", "height", "boxes", "detection_ms", "error")
+    schema = "path string, width int, height int, boxes array<struct<box:array<struct<x:double,y:double>>,source:string>>, detection_ms double, error string, scores array<array<array<double>>>, recognition_ms double"
+    read = plain.mapInPandas(run, schema)
+
+    def region(b, i):
+        text = ctc.decode(F.col("scores")[i], alphabet)
+        return F.struct(F.transform(b["box"], lambda p: F.array(p["x"], p["y"])).alias("bbox"), blank_marker(text["text"]).alias("text"), text["score"].alias("score"), b["source"].alias("source"))
+
+    found = F.when(F.size("scores") == F.size("boxes"), F.transform("boxes", region)).otherwise(F.array().cast("array<struct<bbox:array<array<double>>,text:string,score:double,source:string>>"))
+    return read.select("path", F.col("width").alias("image_width"), F.col("height").alias("image_height"), found.alias("text_regions"), "detection_ms", "recognition_ms", (F.col("detection_ms") + F.when(F.size("boxes") > 0, F.col("recognition_ms")).otherwise(0.0)).alias("total_ms"), "error")
