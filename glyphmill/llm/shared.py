@@ -21,13 +21,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_paths: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there and no executor's loss costs a recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    return len(_paths)
+
+
+def forget(spark: SparkSession, since: int = 0, keep_last: int = 0) -> None:
+    """Delete what `written` has left, from the `since`-th table on, but for the last keep_last.
+
+    For callers who have written or read out a result: frames that still read those tables fail afterwards.
+    """
+    gone = _paths[since : len(_paths) - keep_last]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _paths[since : len(_paths) - keep_last]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that can be reached.
 
