@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontamination, mixing, near_dedup, sharding, toxicity
-from glyphmill.llm.shared import written
+from glyphmill.llm.shared import forget, tables_written, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, written; what the stages wrote on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = tables_written()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        forget(spark, before, keep_last=1)
     return docs
