@@ -90,17 +90,17 @@ def flat(rows):
     return [round(v, 3) for p in rows for v in (p.x, p.y)]
 
 
-RECT = quad((0, 0), (40, 0), (40, 10), (0, 10))
+CORNERS = ((0, 0), (40, 0), (40, 10), (0, 10))
 
 
 def test_corner_order_and_area(spark):
     assert flat(value(spark, B.order_points(quad((40, 10), (0, 10), (0, 0), (40, 0))))) == [0, 0, 40, 0, 40, 10, 0, 10]
-    assert value(spark, B.area(RECT)) == 400
+    assert value(spark, B.area(quad(*CORNERS))) == 400
 
 
 def test_unclip_is_the_grown_rectangle(spark):
     d = 40 * 10 * 1.5 / 100
-    assert flat(value(spark, B.unclip(RECT))) == [-d, -d, 40 + d, -d, 40 + d, 10 + d, -d, 10 + d]
+    assert flat(value(spark, B.unclip(quad(*CORNERS)))) == [-d, -d, 40 + d, -d, 40 + d, 10 + d, -d, 10 + d]
     assert value(spark, B.unclip(quad((0, 0), (0.5, 0), (0.5, 0.5), (0, 0.5)))) is None
 
 
@@ -116,12 +116,12 @@ def test_unclip_is_the_grown_rectangle(spark):
 )
 def test_middle_box_is_put_right(spark, middle, expected):
     below = quad((0, 40), (40, 40), (40, 50), (0, 50))
-    assert flat(value(spark, B.expanded(RECT, quad(*middle), below, F.lit(640), F.lit(480)))) == expected
+    assert flat(value(spark, B.expanded(quad(*CORNERS), quad(*middle), below, F.lit(640), F.lit(480)))) == expected
 
 
 def test_box_between(spark):
     below = quad((2, 16), (42, 16), (42, 26), (2, 26))
-    assert flat(value(spark, B.between(RECT, below, F.lit(640), F.lit(480)))) == [0, 8, 15, 8, 15, 18, 0, 18]
+    assert flat(value(spark, B.between(quad(*CORNERS), below, F.lit(640), F.lit(480)))) == [0, 8, 15, 8, 15, 18, 0, 18]
     flatless = quad((0, 0), (40, 0), (0, 10), (0, 10))
     assert value(spark, B.between(flatless, below, F.lit(640), F.lit(480))) is None
 
@@ -139,12 +139,12 @@ def test_label_policy(spark):
 def test_shapes(spark):
     assert tuple(value(spark, B.resize_shape(F.lit(480), F.lit(1280))))[:2] == (224, 640)
     assert tuple(value(spark, B.resize_shape(F.lit(10), F.lit(10))))[:2] == (32, 32)
-    assert value(spark, B.is_croppable(RECT)) is False and value(spark, B.is_croppable(quad((0, 0), (40, 0), (40, 12), (0, 12))))
+    assert value(spark, B.is_croppable(quad(*CORNERS))) is False and value(spark, B.is_croppable(quad((0, 0), (40, 0), (40, 12), (0, 12))))
     assert value(spark, B.recognition_width(F.lit(2.5))) == 120 and value(spark, B.recognition_width(F.lit(99.0))) == 320
     assert value(spark, B.downscale(F.lit(720), F.lit(2560))) == 0.5
     assert value(spark, B.masked_mean(F.array(F.lit(1.0), F.lit(3.0)), F.array(F.lit(1), F.lit(0)))) == pytest.approx(1.0, abs=1e-5)
-    assert value(spark, B.rotation(RECT)) == 0 and value(spark, B.label_colour(F.lit("created"))) == "red"
-    assert math.isclose(value(spark, B.label_anchor(RECT)).x, 45) and value(spark, B.label(F.lit("a"), F.lit(0.5))) == "a (0.50)"
+    assert value(spark, B.rotation(quad(*CORNERS))) == 0 and value(spark, B.label_colour(F.lit("created"))) == "red"
+    assert math.isclose(value(spark, B.label_anchor(quad(*CORNERS))).x, 45) and value(spark, B.label(F.lit("a"), F.lit(0.5))) == "a (0.50)"
 
 
 def test_ctc(spark):
