@@ -61,8 +61,8 @@ class Toy:
         return (tensor[0, 0] > 0).astype(np.float32)
 
     def class_scores(self, tensor):
-        level = 1 if tensor[:, :, 20:28, 20:28].mean() > 0.5 else 2
-        return np.eye(3)[[[0, level, level, 0]] * len(tensor)]
+        levels = np.where(tensor[:, :, 20:28, 20:28].mean(axis=(1, 2, 3)) > 0.5, 1, 2)
+        return np.eye(3)[[[0, k, k, 0] for k in levels]]
 
 
 def test_images_to_texts(spark):
