@@ -123,33 +123,46 @@ class Grammar:
 
 def learned_words(texts: list[str], y: np.ndarray, scale: float) -> dict[int, float]:
     """Hash of each learned word or beginning, with its weight. scale: rows that a clean text stands for against a toxic one."""
-    sample = pa.array(texts, pa.string())
-    whole, context, toxic = [], [], []
-    for row, w in words(sample, gaps=NOT_LETTERS):
-        whole.append(w.hashes(fold=True))
-        before = np.zeros(len(w.starts), np.uint64)
-        before[1:] = whole[-1][:-1]
-        context.append(before)
-        toxic.append(np.repeat(y[row : row + len(w.first) - 1] > 0, np.diff(w.first)))
-    if not whole:
-        return {}
-    whole, context, bad = np.concatenate(whole), np.concatenate(context), np.concatenate(toxic)
+
+    def read(own: list[str], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hashes and contexts, slice by slice. A context is the token before; of a beginning, with the whole word."""
+        for _, w in words(pa.array(own, pa.string()), gaps=NOT_LETTERS):
+            whole = w.hashes(fold=True)
+            before = np.zeros(len(whole), np.uint64)
+            before[1:] = whole[:-1]
+            yield (w.hashes(fold=True, first_bytes=k) ^ np.uint64(k), mix(before ^ mix(whole))) if k else (whole, before)
+
+    def counted(h: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes and the number of contexts of each."""
+        _, index = np.unique(mix(context) ^ h, return_index=True)
+        return np.unique(h[index], return_counts=True)
+
+    bad, good = ([t for t, v in zip(texts, y, strict=True) if (v > 0) == side] for side in (True, False))
     out: dict[int, float] = {}
-    for k in (0, *STEMS):  # one kind at a time: the driver holds a few numbers a word, no more
-        h = np.concatenate([w.hashes(fold=True, first_bytes=k) ^ np.uint64(k) for _, w in words(sample, gaps=NOT_LETTERS)]) if k else whole
-        # A context of a beginning is the whole word with what stands before it.
-        place = mix(context ^ mix(whole)) if k else context.copy()
-        place += bad
-        place = mix(place)
-        place ^= h
-        _, index = np.unique(place, return_index=True)
-        names, place = np.unique(h[index], return_inverse=True)
-        seen = np.bincount(place, weights=bad[index], minlength=len(names))
-        clean = np.bincount(place, minlength=len(names)) - seen
+    for k in (0, *STEMS):
+        toxic = list(read(bad, k))
+        if not toxic:
+            return {}
+        names, seen = counted(np.concatenate([h for h, _ in toxic]), np.concatenate([c for _, c in toxic]))
+        often = seen >= LEAST
+        tried, total = len(names), sum(len(h) for h, _ in toxic)
+        names, seen = names[often], seen[often]
+        if not len(names):
+            continue
+        kept, other = [], 0
+        for h, context in read(good, k):  # of clean texts only what is in question is kept
+            other += len(h)
+            place = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            same = names[place] == h
+            kept.append((h[same], context[same]))
+        clean = np.zeros(len(names))
+        if kept:
+            found, n = counted(np.concatenate([h for h, _ in kept]), np.concatenate([c for _, c in kept]))
+            clean[np.searchsorted(names, found)] = n
         odds = np.log((seen + 0.5) / (clean * scale + 0.5))
-        # A neutral word's contexts are all toxic with bad.mean() ** seen; no such word is expected among all that are tried.
-        least = max(LEAST, np.log(10 * len(names)) / -np.log(np.clip(bad.mean(), 1e-9, 0.9)))
-        ok = (seen >= least) & (odds >= ODDS)
+        # A neutral word's contexts are all toxic with share ** seen; no such word is expected among all that are tried.
+        share = np.clip(total / max(1, total + other), 1e-9, 0.9)
+        ok = (seen >= np.log(10 * tried) / -np.log(share)) & (odds >= ODDS)
         out |= {int(a): float(b) for a, b in zip(names[ok], np.clip(odds[ok] / 4, 0.2, 1.5), strict=True)}
     return out
 
