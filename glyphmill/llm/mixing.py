@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.shared import written
 
-BLOCKS = 4096
+BLOCKS = 1024
 FILLS = 3
 LEVELS = 3
 
