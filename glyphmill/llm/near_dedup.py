@@ -35,7 +35,7 @@ from glyphmill.llm.tokens import BASES, mix, span_hashes, words
 
 BANDS, ROWS = 50, 5
 COORDINATES = BANDS * ROWS
-BLOCK, BLOCK_SHINGLES = 512, 500_000
+BLOCK, BLOCK_SHINGLES = 256, 250_000
 _EMPTY = np.uint64(2**64 - 1)
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * BASES[0])
 _ODD = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * BASES[1]) | np.uint64(1)
