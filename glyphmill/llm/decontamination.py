@@ -47,10 +47,16 @@ def hits(documents: DataFrame, benchmark: DataFrame, size: int = 10, most_broadc
     sent = F.broadcast if small else (lambda df: df)
     anchors = grams.select(F.xxhash64("anchor").alias("token"), "offset", "n").distinct()
     keyed = grams.select(F.xxhash64("gram").alias("key"), F.col("gram").alias("test"), "items")
-    tokens = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), normal_words(F.col("text")).alias("w"))
-    tokens = tokens.select("doc_id", "row_hash", "w", F.posexplode_outer("w").alias("pos", "word")).withColumn("token", F.xxhash64("word"))
-    places = tokens.join(sent(anchors), "token").withColumn("at", F.col("pos") - F.col("offset")).where("at >= 0 and at + n <= size(w)")
-    seen = places.select("doc_id", "row_hash", "at", "n", F.expr("slice(w, greatest(at + 1, 1), n)").alias("seen")).withColumn("key", F.xxhash64("seen"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), normal_words(F.col("text")).alias("w"))
+    if small:  # one fused stage: the words of a text are at hand at each of its tokens
+        tokens = docs.select("doc_id", "row_hash", "w", F.posexplode_outer("w").alias("pos", "word"))
+        places = tokens.withColumn("token", F.xxhash64("word")).join(sent(anchors), "token").withColumn("at", F.col("pos") - F.col("offset"))
+    else:  # tokens travel alone, and a text's places come back to it
+        tokens = docs.select("doc_id", "row_hash", F.posexplode_outer("w").alias("pos", "word"))
+        places = tokens.select("doc_id", "row_hash", "pos", F.xxhash64("word").alias("token")).join(anchors, "token").groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("at"), "n")).alias("places"))
+        places = docs.join(places.withColumnsRenamed({"doc_id": "d", "row_hash": "r"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")))
+        places = places.select("doc_id", "row_hash", "w", F.explode("places").alias("p")).select("doc_id", "row_hash", "w", "p.*")
+    seen = places.where("at >= 0 and at + n <= size(w)").select("doc_id", "row_hash", "at", "n", F.expr("slice(w, greatest(at + 1, 1), n)").alias("seen")).withColumn("key", F.xxhash64("seen"))
     return seen.join(sent(keyed), "key").where("seen = test").select("doc_id", "row_hash", "at", "n", "items")
 
 
