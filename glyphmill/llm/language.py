@@ -67,15 +67,19 @@ class SuffixAutomaton:
             last = now
 
     def table(self) -> np.ndarray:
-        """Row of states by symbol: the next state, or ~(state after a restart with that symbol)."""
+        """Row of states by symbol: the next state, or ~(state after a restart with that symbol).
+
+        One more state, the last, stands for a symbol the sample lacks: a phrase of its own that nothing continues.
+        """
         n = len(self.next)
-        out = np.full((n, _WIDTH), -1, np.int32)
+        out = np.full((n + 1, _WIDTH), ~n, np.int32)
         for c, to in self.next[0].items():
             out[:, c] = ~to
+        out[0] = n  # at a start no phrase ends
         for state, row in enumerate(self.next):
             for c, to in row.items():
                 out[state, c] = to
-        out[:, _PAD] = np.arange(n)
+        out[:, _PAD] = np.arange(n + 1)
         return out
 
 
