@@ -71,4 +71,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return written(roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")
