@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators.ordering import numbered, sliding
+
 
 def number(text: Column) -> Column:
     """A double, or null where the text is none or NaN."""
@@ -66,10 +68,8 @@ def paired(first: DataFrame, second: DataFrame, key: str = "filename", metric: s
 
 def sampled(pairs: DataFrame, most: int = 50) -> DataFrame:
     """Over `most` rows, every (rows // most)th by filename, from the first; else all. position: rank by filename from 0."""
-    order = Window.orderBy("filename", "first_ms", "second_ms")
-    rows = pairs.withColumn("position", F.row_number().over(order) - 1).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy()))
-    step = F.greatest(F.floor(F.col("rows") / most), F.lit(1))
-    return rows.where((F.col("rows") <= most) | (F.col("position") % step == 0)).drop("rows")
+    rows, count = numbered(pairs, ("filename", "first_ms", "second_ms"))
+    return rows.where(F.col("position") % max(1, count // most) == 0) if count > most else rows
 
 
 def with_accuracy(details: DataFrame, accuracy: DataFrame | None, key: str = "filename") -> DataFrame:
@@ -88,9 +88,12 @@ def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def rolling_mean(samples: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), value: str = "seconds", size: int = 200, by: str | None = None) -> DataFrame:
     """Mean of each row and the size - 1 before it, in ms, and the frame rate it means."""
-    window = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(*order).rowsBetween(-(size - 1), 0)
-    ms = F.avg(value).over(window) * 1000
-    return samples.withColumn("mean_ms", ms).withColumn("fps", F.when(F.col("mean_ms") > 0, 1000 / F.col("mean_ms")))
+    mean = lambda window: F.avg(value).over(window) * 1000
+    if by:
+        rows = samples.withColumn("mean_ms", mean(Window.partitionBy(by).orderBy(*order).rowsBetween(-(size - 1), 0)))
+    else:
+        rows = sliding(samples, order, size, mean, "mean_ms")
+    return rows.withColumn("fps", F.when(F.col("mean_ms") > 0, 1000 / F.col("mean_ms")))
 
 
 def batched(rows: DataFrame, order: tuple[str, ...], by: str, size: int = 6) -> DataFrame:

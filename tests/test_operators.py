@@ -147,3 +147,19 @@ def test_stream_equals_its_batch_twin(spark, tmp_path):
     got = {r.frame_id: r.mean_ms for r in spark.table("rolled").collect()}
     assert got == pytest.approx({r.frame_id: r.mean_ms for r in twin.collect()}) and len(got) == 55
     assert frames.drop_low(rows).count() == 30
+
+
+@pytest.mark.parametrize("per_range", [7, 100, 10_000])
+def test_global_order_in_ranges(spark, per_range):
+    from pyspark.sql import Window
+
+    from glyphmill.operators.ordering import numbered, sliding
+
+    rows = spark.range(500).select((F.xxhash64("id") % 97).alias("a"), F.when(F.col("id") % 9 != 0, F.col("id")).alias("b"), F.col("id").alias("c")).repartition(5)
+    got, count = numbered(rows, ("a", "b", "c"), rows_per_range=per_range)
+    expected = sorted(rows.collect(), key=lambda r: (r.a, r.b is not None, r.b or 0, r.c))
+    assert count == 500 and [r.c for r in got.orderBy("position").collect()] == [r.c for r in expected]
+    means = sliding(rows, ("a", "b", "c"), 5, lambda w: F.sum("c").over(w), "s", per_range)
+    twin = rows.withColumn("s", F.sum("c").over(Window.partitionBy().orderBy("a", "b", "c").rowsBetween(-4, 0)))
+    assert sorted((r.c, r.s) for r in means.collect()) == sorted((r.c, r.s) for r in twin.collect())
+    assert numbered(rows.where("false"), ("a",))[0].count() == 0
