@@ -24,7 +24,8 @@ def numbered(df: DataFrame, order: tuple[str, ...], name: str = "position", rows
         share = min(1.0, SAMPLE / rows)
         bounds = df.select(key.alias("k")).sample(share, seed=1).groupBy(F.spark_partition_id()).agg(F.collect_list("k").alias("ks")).select(F.array_sort("ks").alias("ks"))
         cuts = bounds.agg(F.array_sort(F.flatten(F.collect_list("ks"))).alias("ks")).select(F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.try_element_at("ks", F.greatest(F.ceil(i * F.size("ks") / ranges).cast("int"), F.lit(1)))).alias("cuts"))
-        df = df.join(F.broadcast(cuts))  # one row
+        cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # fixed here: a second sample could differ
+        df = df.join(F.broadcast(cuts))  # one row of fewer than MOST_RANGES keys
         place = F.aggregate("cuts", F.lit(0), lambda n, c: n + (c < key).cast("int"))
     df = df.withColumn("__range", F.coalesce(place, F.lit(0)))
     begin, offsets = 0, []
