@@ -185,8 +185,9 @@ def near_groups(documents: DataFrame, size: int = 5, similarity: int = 75) -> Da
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
     all_rows = written(docs.mapInArrow(_sketched(size), "doc_id long, row_hash int, n_shingles long, node long, bands array<long>"), "sketches")
     rows = all_rows.where("doc_id is not null and node is not null")
-    entries = rows.select("node", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").drop("other")
+    # Copies leave before bands are dealt out; buckets are written, so that their join can split one that many near copies share.
+    entries = written(rows.select("node", "bands").dropDuplicates(["node"]), "nodes").select("node", F.explode("bands").alias("bucket"))
+    buckets = written(entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").drop("other"), "buckets")
     families = components(entries.join(buckets, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     one = rows.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash", "n_shingles")).alias("one"))
     members = written(families.join(one, "node").select("node", F.col("root").alias("family"), "one.*"), "members")
