@@ -42,7 +42,7 @@ _ODD = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * BASES[1]) | np.uint64(1)
 _OF_BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * BASES[2])
 
 
-def shingle_sets(texts: pa.Array, size: int, most: int = 1 << 21) -> Iterator[tuple[int, list[np.ndarray]]]:
+def shingle_sets(texts: pa.Array, size: int, most: int = 1 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sorted distinct shingle hashes of each text) slice by slice."""
     for row, w in words(texts, most):
         hashes = w.hashes(fold=True)

@@ -37,7 +37,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
     have = _tables.get(int(base))
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 16, 0 if have is None else 2 * len(have[0]))
+        size = (n + (1 << 17)) >> 16 << 16
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         one = np.ones(size, np.uint64)
         up, down = one.copy(), one.copy()
