@@ -104,7 +104,7 @@ class Recogniser(Protocol):
 QUADS = "array<array<struct<x:double,y:double>>>"
 
 
-def detect(images: DataFrame, factory: Callable[[], Detector], limit: int = 640, threshold: float = 0.3, box_threshold: float = 0.6, name: str = "detector") -> DataFrame:
+def detect(images: DataFrame, factory: Callable[[], Detector], limit: int = 640, threshold: float = 0.15, box_threshold: float = 0.15, name: str = "detector") -> DataFrame:
     """path, content, width, height, quads (rectangles in tensor pixels), ratio_h, ratio_w, detection_ms, error."""
     from glyphmill.functions import pixels
 
@@ -129,7 +129,7 @@ def detect(images: DataFrame, factory: Callable[[], Detector], limit: int = 640,
     return images.select("path", "content").mapInPandas(run, f"path string, content binary, width int, height int, quads {QUADS}, ratio_h double, ratio_w double, detection_ms double, error string")
 
 
-def label_regions(detected: DataFrame, unclip_ratio: float = 1.5) -> DataFrame:
+def label_regions(detected: DataFrame, unclip_ratio: float = 2.0) -> DataFrame:
     """Adds boxes: grown, brought to image pixels, clipped, in reading order, cut to the label's four and to those worth a crop."""
     from glyphmill.functions import boxes as B
 

@@ -130,9 +130,13 @@ def test_images_and_alphabet(spark, tmp_path):
 def test_config(tmp_path):
     (tmp_path / "config").mkdir()
     path = tmp_path / "config" / "x.json"
-    path.write_text(json.dumps({"_comment": "no", "detection": {"limitSideLen": 320, "_comment": 1}, "paths": {"output": "/abs"}}))
+    path.write_text(json.dumps({"_description": "no", "models": {"detectionModelPath": "m/d.onnx", "characterDictPath": "/abs.txt"}, "detection": {"limitSideLen": 320, "_comment_x": 1}, "engine": {"numThreads": 7}, "debug": {"enabled": True}}))
+    s = config.load(str(path), "engine")
+    assert s.detection.limitSideLen == 320 and s.detection.unclipRatio == 2.0 and s.runtime.numThreads == 7 and s.debug.enabled
+    assert s.models.detectionModelPath == str(tmp_path / "m/d.onnx") and s.models.characterDictPath == "/abs.txt"
+    path.write_text(json.dumps({"detection": {"textDetThresh": 0.4}, "recognition": {"textRecScoreThresh": 0.1}, "runtime": {"cpuThreads": 3}, "warmup": {"count": 5}}))
     s = config.load(str(path))
-    assert s.detection.limitSideLen == 320 and s.detection.thresh == 0.3 and s.paths.output == "/abs" and s.paths.samples == str(tmp_path / "samples")
+    assert (s.detection.thresh, s.recognition.scoreThresh, s.runtime.numThreads, s.warmup.count) == (0.4, 0.1, 3, 5)
     with pytest.raises(FileNotFoundError):
         config.load(str(tmp_path / "none.json"))
 
