@@ -106,9 +106,13 @@ def crop_size(quad: Column) -> Column:
     return bound(lambda s: F.struct(s["w"].cast("int").alias("w"), s["h"].cast("int").alias("h")), side_lengths(quad))
 
 
+def worth_a_crop(size: Column) -> Column:
+    """Of a crop's struct(w, h): both at least 3 pixels, at least 12 high, and at least half as wide as high."""
+    return (size["w"] >= 3) & (size["h"] >= 3) & (size["h"] >= 12) & (size["w"] >= size["h"] / 2)
+
+
 def is_croppable(quad: Column) -> Column:
-    """Both sides at least 3 pixels, at least 12 high, and at least half as wide as high."""
-    return bound(lambda s: (s["w"] >= 3) & (s["h"] >= 3) & (s["h"] >= 12) & (s["w"] >= s["h"] / 2), crop_size(quad))
+    return bound(worth_a_crop, crop_size(quad))
 
 
 def unclip(quad: Column, ratio: float = 1.5) -> Column:

@@ -25,7 +25,7 @@ _REST = f"""aggregate(sequence(1, {len(FIELDS)}), sure, (taken, k) ->
     best -> if(best is null, taken, transform(taken, (t, i) -> if(i + 1 = -best.f, -best.t, t))))[0])"""
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that the optimizer cannot copy into the expressions that use it."""
     return df.select("*", F.explode(F.array(value)).alias(name))
 
@@ -43,9 +43,9 @@ def evaluate(images: DataFrame, pipeline: str | Column, extension: str = ".png")
     rows = images.select("base", tag.alias("pipeline"), F.array(*(F.coalesce(f, F.lit("")) for f in FIELDS)).alias("expected"), "texts")
     rows = rows.withColumn("places", F.when(F.size("texts") > 0, F.sequence(F.lit(1), F.size("texts"))).otherwise(F.array().cast("array<int>")))
     sims = F.transform("expected", lambda e: F.transform("texts", lambda t: F.when(e != "", T.field_similarity(e, t)).otherwise(0.0)))
-    rows = _once(rows, "sims", sims)
-    rows = _once(rows, "sure", F.expr(_CONFIDENT))
-    rows = _once(rows, "taken", F.expr(_REST))
+    rows = once(rows, "sims", sims)
+    rows = once(rows, "sure", F.expr(_CONFIDENT))
+    rows = once(rows, "taken", F.expr(_REST))
     columns, total, exact, fine = [], F.lit(0.0), F.lit(True), F.lit(True)
     for i, (field, weight) in enumerate(FIELDS.items()):
         place = F.col("taken")[i]

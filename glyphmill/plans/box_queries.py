@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import boxes as B
 from glyphmill.functions import ctc
 from glyphmill.operators import latency as L
+from glyphmill.operators.accuracy import once
 from glyphmill.plans import adapters as A
 from glyphmill.plans.latency_queries import _rounded
 
@@ -24,11 +25,11 @@ def _corners_sql(quad: str, digits: int = 4) -> str:
 
 
 def order_points(spark, d):
-    return _corners(A.quads(spark, d).withColumn("o", B.order_points(F.col("quad"))), "o", "image", "idx")
+    return _corners(once(A.quads(spark, d), "o", B.order_points(F.col("quad"))), "o", "image", "idx")
 
 
 def box_area_argmax(spark, d):
-    big = A.image_quads(spark, d).select("image", B.largest(F.col("quads")).alias("q"))
+    big = once(A.image_quads(spark, d), "q", B.largest(F.col("quads")))
     return _corners(big.withColumn("area", F.round(B.area(F.col("q")), 4)), "q", "image", "area")
 
 
@@ -48,17 +49,18 @@ def lower_region_top3(spark, d):
 
 def _neighbours(spark, d):
     w = Window.partitionBy("image").orderBy("idx")
-    o = A.quads(spark, d).withColumn("quad", B.order_points(F.col("quad")))
+    o = once(A.quads(spark, d), "o", B.order_points(F.col("quad"))).withColumn("quad", F.col("o"))
     return o.select("image", "idx", F.col("quad").alias("a"), F.lead("quad", 1).over(w).alias("m"), F.lead("quad", 2).over(w).alias("b"))
 
 
 def intermediate_box(spark, d):
-    rows = _neighbours(spark, d).where("m is not null").withColumn("gap", F.round(B.vertical_gap(F.col("a"), F.col("m")), 4)).withColumn("c", B.between(F.col("a"), F.col("m"), F.lit(W), F.lit(H)))
+    rows = _neighbours(spark, d).where("m is not null").withColumn("gap", F.round(B.vertical_gap(F.col("a"), F.col("m")), 4))
+    rows = once(rows, "c", B.between(F.col("a"), F.col("m"), F.lit(W), F.lit(H)))
     return _corners(rows, "c", "image", "idx", "gap")
 
 
 def expand_middle(spark, d):
-    rows = _neighbours(spark, d).where("b is not null").withColumn("c", B.expanded(F.col("a"), F.col("m"), F.col("b"), F.lit(W), F.lit(H)))
+    rows = once(_neighbours(spark, d).where("b is not null"), "c", B.expanded(F.col("a"), F.col("m"), F.col("b"), F.lit(W), F.lit(H)))
     return _corners(rows, "c", "image", "idx", digits=3)
 
 
@@ -68,36 +70,36 @@ def label_structure(spark, d):
 
 
 def unclip_expand(spark, d):
-    rows = A.quads(spark, d).withColumn("u", B.unclip(B.order_points(F.col("quad"))))
+    rows = once(A.quads(spark, d), "u", B.unclip(B.order_points(F.col("quad"))))
     return _corners(rows.where("u is not null"), "u", "image", "idx")
 
 
 def rescale_clip(spark, d):
-    rows = A.quads(spark, d).withColumn("c", B.clip(B.rescale(F.col("quad"), F.lit(0.8), F.lit(0.75)), F.lit(W), F.lit(H)))
+    rows = once(A.quads(spark, d), "c", B.clip(B.rescale(F.col("quad"), F.lit(0.8), F.lit(0.75)), F.lit(W), F.lit(H)))
     return _corners(rows, "c", "image", "idx")
 
 
 def crop_filter(spark, d):
-    rows = A.quads(spark, d).select("image", "idx", B.order_points(F.col("quad")).alias("o"))
-    return rows.where(B.is_croppable(F.col("o"))).select("image", "idx", B.crop_size(F.col("o")).alias("s")).select("image", "idx", "s.w", "s.h")
+    rows = once(A.quads(spark, d), "s", B.crop_size(B.order_points(F.col("quad"))))
+    return rows.where(B.worth_a_crop(F.col("s"))).select("image", "idx", "s.w", "s.h")
 
 
 def resize_shape(spark, d):
     p = A.table(spark, d, "part").select("p_partkey", (F.col("p_size") * 37 + 5).alias("h"), (F.col("p_partkey") % 1900 + 20).cast("int").alias("w"))
     for kind in ("max", "min"):
-        p = p.withColumn(kind, B.resize_shape(F.col("h"), F.col("w"), kind=kind))
+        p = once(p, kind, B.resize_shape(F.col("h"), F.col("w"), kind=kind))
     return _rounded(p.select("p_partkey", *(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("max", "min") for c in ("h", "w", "ratio_h", "ratio_w"))))
 
 
 def batch_assign(spark, d):
-    rows = A.quads(spark, d).select("image", "idx", B.crop_size(B.order_points(F.col("quad"))).alias("s")).select((F.col("image") % 100).alias("stream"), "image", "idx", (F.col("s.w") / F.greatest("s.h", F.lit(1))).alias("ratio"))
+    rows = once(A.quads(spark, d), "s", B.crop_size(B.order_points(F.col("quad")))).select((F.col("image") % 100).alias("stream"), "image", "idx", (F.col("s.w") / F.greatest("s.h", F.lit(1))).alias("ratio"))
     done = L.batched(rows, ("ratio", "image", "idx"), "stream")
     return _rounded(done.select("image", "idx", "batch", B.recognition_width(F.col("max_ratio")).alias("width"), "max_ratio"))
 
 
 def ctc_decode(spark, d):
     alphabet = F.array(*(F.lit(c) for c in ("blank", "a", "b", "c", "d", "e", "f")))
-    rows = A.scores(spark, d).withColumn("r", ctc.decode(F.col("steps"), alphabet))
+    rows = once(A.scores(spark, d), "r", ctc.decode(F.col("steps"), alphabet))
     return _rounded(rows.select("vec_id", "r.text", "r.score"))
 
 
