@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 ROWS_PER_RANGE, MOST_RANGES, SAMPLE = 1_000_000, 512, 20_000
 
 
-def numbered(df: DataFrame, order: tuple[str, ...], name: str = "position", rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, int]:
-    """df with each row's place from 0 in the order of `order`, and the number of rows.
+def cumulated(df: DataFrame, order: tuple[str, ...], weight: str | None = None, name: str = "before", rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, int]:
+    """df with the sum of `weight` (of ones, if None) over all rows that precede each in the order of `order`, and the number of rows.
 
     Rows are dealt into ranges, bounded by a sample of at most SAMPLE keys that decides only how even the ranges are; a range
-    is ranked by itself and begins where those before it end. `order` should be unique; ties fall anyhow.
+    is summed up by itself and begins where those before it end. `order` should be unique; ties fall anyhow.
     """
+    one = F.col(weight) if weight else F.lit(1)
     rows = df.count()
     ranges = min(MOST_RANGES, -(-rows // rows_per_range))
     key = F.struct(*order)
@@ -29,14 +30,39 @@ def numbered(df: DataFrame, order: tuple[str, ...], name: str = "position", rows
         place = F.aggregate("cuts", F.lit(0), lambda n, c: n + (c < key).cast("int"))
     df = df.withColumn("__range", F.coalesce(place, F.lit(0)))
     begin, offsets = 0, []
-    for r in sorted(df.groupBy("__range").count().collect(), key=lambda r: r["__range"]):  # at most MOST_RANGES rows
+    sums = df.groupBy("__range").agg(F.sum(one).alias("s")).collect()  # at most MOST_RANGES rows
+    for r in sorted(sums, key=lambda r: r["__range"]):
         offsets += [F.lit(r["__range"]), F.lit(begin)]
-        begin += r["count"]
+        begin += r["s"]
     start = F.create_map(*offsets)[F.col("__range")] if offsets else F.lit(0)
-    out = df.withColumn(name, (start + F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1).cast("long"))
+    window = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn(name, (start + F.coalesce(F.sum(one).over(window), F.lit(0))).cast("long"))
     return out.drop("__range", "cuts"), rows
 
 
+def numbered(df: DataFrame, order: tuple[str, ...], name: str = "position", rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, int]:
+    """df with each row's place from 0 in the order of `order`, and the number of rows."""
+    return cumulated(df, order, None, name, rows_per_range)
+
+
+def exact_percentiles(df: DataFrame, by: str, value: str, percents: tuple[float, ...], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """(by, percent, value): interpolated percentiles of each group, however many distinct values it has.
+
+    The aggregate `percentile` keeps every distinct value of a group in one state; here distinct values are counted,
+    put in one order with `by` and cumulated in ranges, and only the values at the ranks in question are kept.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    running, _ = cumulated(counts, ("g", "v"), "n", "before", rows_per_range)
+    groups = running.groupBy("g").agg(F.min("before").alias("start"), F.sum("n").alias("rows"))
+    ranks = groups.select(F.col("g").alias("h"), "start", F.explode(F.array(*(F.struct(F.lit(p).alias("percent"), (F.lit(p) * (F.col("rows") - 1)).alias("rank")) for p in percents))).alias("p"))
+    ranks = ranks.select("h", "start", "p.*")
+    lower, upper = F.col("start") + F.floor("rank"), F.col("start") + F.ceil("rank")
+    inside = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
+    found = running.join(ranks, F.col("g").eqNullSafe(F.col("h")) & (inside(lower) | inside(upper)))
+    ends = found.groupBy("g", "percent", "rank").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return ends.select(F.col("g").alias(by), "percent", (F.col("lo") + (F.col("rank") - F.floor("rank")) * (F.col("hi") - F.col("lo"))).alias(value))
+
+
 def sliding(df: DataFrame, order: tuple[str, ...], size: int, value: Callable[[object], Column], name: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """df with value(window) over each row and the size - 1 before it in a global order.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as T
 from glyphmill.operators import latency as L
 from glyphmill.operators import reports as R
+from glyphmill.operators.ordering import exact_percentiles
 from glyphmill.plans import adapters as A
 from glyphmill.sources import readers
 
@@ -103,7 +104,12 @@ def region_zip(spark, d):
     return c.select("conv_id", F.posexplode(regions).alias("pos", "r")).select("conv_id", "pos", "r.text", F.round("r.score", 6).alias("score"), F.size("r.bbox").alias("corners"))
 
 
+def ranged_percentiles(spark, d):
+    return _rounded(exact_percentiles(A.events_details(spark, d), "pipeline", "total_ms", (0.5, 0.95, 0.99)))
+
+
 QUERIES = {
+    "latency_percentiles": ranged_percentiles,
     "latency_stats_by_pipeline": stats,
     "latency_stats_population": stats_population,
     "latency_breakdown": breakdown,
@@ -124,6 +130,7 @@ QUERIES = {
 _PAIR = f"""WITH s AS ({_STATS.format(spread='stddev_samp', more='', source=A.EVENTS_DETAILS).replace(', 6)', ', 12)')}), a AS (SELECT * FROM s WHERE pipeline = 'click'), b AS (SELECT * FROM s WHERE pipeline = 'view')"""
 _METRICS = ("num_images", "avg_ms", "median_ms", "min_ms", "max_ms", "std_ms", "p95_ms", "p99_ms", "throughput_fps", "total_time_s")
 ORACLES = {
+    "latency_percentiles": " UNION ALL ".join(f"SELECT pipeline, {p}::DOUBLE AS percent, round(quantile_cont(total_ms, {p}), 6) AS total_ms FROM ({A.EVENTS_DETAILS}) GROUP BY pipeline" for p in (0.5, 0.95, 0.99)),
     "latency_stats_by_pipeline": _STATS.format(spread="stddev_samp", more="", source=A.EVENTS_DETAILS),
     "latency_stats_population": _STATS.format(spread="stddev_pop", more="", source=A.EVENTS_DETAILS),
     "latency_breakdown": _STATS.format(spread="stddev_samp", more=", round(avg(detection_ms), 6) AS avg_detection_ms, round(avg(recognition_ms), 6) AS avg_recognition_ms", source=A.SPLIT_DETAILS),

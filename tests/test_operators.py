@@ -167,3 +167,13 @@ def test_global_order_in_ranges(spark, per_range):
     twin = rows.withColumn("s", F.sum("c").over(Window.partitionBy().orderBy("a", "b", "c").rowsBetween(-4, 0)))
     assert sorted((r.c, r.s) for r in means.collect()) == sorted((r.c, r.s) for r in twin.collect())
     assert numbered(rows.where("false"), ("a",))[0].count() == 0
+
+
+@pytest.mark.parametrize("per_range", [5, 10_000])
+def test_percentiles_in_ranges(spark, per_range):
+    from glyphmill.operators.ordering import exact_percentiles
+
+    rows = spark.range(400).select(F.when(F.col("id") % 10 != 3, F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 != 0, F.pmod(F.xxhash64("id"), F.lit(50)) / 4.0).alias("v")).unionByName(spark.createDataFrame([(9, 5.0), (8, None)], "g long, v double"))
+    got = {(r.g, r.percent): r.v for r in exact_percentiles(rows, "g", "v", (0.0, 0.5, 0.95, 1.0), per_range).collect()}
+    twin = rows.where("v is not null").groupBy("g").agg(F.percentile("v", F.array(*(F.lit(p) for p in (0.0, 0.5, 0.95, 1.0)))).alias("p")).collect()
+    assert got == pytest.approx({(r.g, p): x for r in twin for p, x in zip((0.0, 0.5, 0.95, 1.0), r.p, strict=True)})
