@@ -126,7 +126,7 @@ def learned_words(texts: list[str], y: np.ndarray, scale: float) -> dict[int, fl
 
     def read(own: list[str], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Hashes and contexts, slice by slice. A context is the token before; of a beginning, with the whole word."""
-        for _, w in words(pa.array(own, pa.string()), gaps=NOT_LETTERS):
+        for _, w in words(pa.array(own, pa.string()), most=1 << 18, gaps=NOT_LETTERS):
             whole = w.hashes(fold=True)
             before = np.zeros(len(whole), np.uint64)
             before[1:] = whole[:-1]
@@ -174,7 +174,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Grammar:
     scale = float(weights[y == 0].max(initial=1e-9) / weights[y == 1].max(initial=1e-9)) if len(set(y.tolist())) == 2 else 1.0
     grammar = Grammar(learned_words([t for t, h in zip(texts, half, strict=True) if h], y[half], scale), _PRIOR)
     rest = [t for t, h in zip(texts, half, strict=True) if not h]
-    sums = [grammar.sums(w) for _, w in words(pa.array(rest, pa.string()), gaps=NOT_LETTERS)]
+    sums = [grammar.sums(w) for _, w in words(pa.array(rest, pa.string()), most=1 << 18, gaps=NOT_LETTERS)]
     x = np.log1p(np.concatenate(sums)) if sums else np.zeros((0, 5))
     beta = logistic(x, y[~half], weights[~half], _PRIOR, strength=3.0)
     return Grammar(learned_words(texts, y, scale), beta)
