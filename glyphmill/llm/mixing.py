@@ -89,7 +89,8 @@ def drawn(documents: DataFrame, most: float = 3.0) -> DataFrame:
         best = free.groupBy("s").agg(F.max(F.struct("size", "key", "doc_id", "row_hash")).alias("best"))
         best = best.select("s", F.col("best.key").alias("k"), F.col("best.size").alias("z"), F.col("best.row_hash").alias("h"))
         mine = _same("source", "s") & (F.col("key") == F.col("k")) & (F.col("size") == F.col("z")) & (F.col("row_hash") == F.col("h"))
-        placed = placed.join(best, mine, "left").withColumn("taken_too", F.when(F.col("k").isNotNull(), 1).otherwise(F.col("taken_too"))).drop("s", "k", "z", "h")
+        # Written, since the next round reads it twice: nested, the rounds' plans would double each time.
+        placed = written(placed.join(best, mine, "left").withColumn("taken_too", F.when(F.col("k").isNotNull(), 1).otherwise(F.col("taken_too"))).drop("s", "k", "z", "h"), "filled")
     times = F.col("passes") + F.col("taken_too")
     return placed.select("doc_id", "row_hash", "source", "size", "source_size", F.round("target", 6).alias("target"), times.alias("times"), (times * F.col("size")).cast("long").alias("taken"), "shards", "key")
 
