@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import components, written
+from glyphmill.llm.shared import components, lean, written
 from glyphmill.llm.tokens import BASES, mix, span_hashes, words
 
 BANDS, ROWS = 50, 5
@@ -182,7 +182,7 @@ def near_groups(documents: DataFrame, size: int = 5, similarity: int = 75) -> Da
     """One row per document: doc_id, n_shingles, component_id, kept. similarity: percent, 75 or more."""
     if similarity < 75:
         raise ValueError("the bands are laid out for similarities of 75 percent or more")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
+    docs = lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
     all_rows = written(docs.mapInArrow(_sketched(size), "doc_id long, row_hash int, n_shingles long, node long, bands array<long>"), "sketches")
     rows = all_rows.where("doc_id is not null and node is not null")
     # Copies leave before bands are dealt out; buckets are written, so that their join can split one that many near copies share.

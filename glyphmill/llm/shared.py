@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold 8 MB, unless the session has a size of its own: texts are long, and each
+    batch is held several times over on its way to a worker and back."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":
+        conf.set(_BATCH, "8m")
+    return df
+
+
 _paths: list[str] = []
 
 

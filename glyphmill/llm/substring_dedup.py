@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import written
+from glyphmill.llm.shared import lean, written
 from glyphmill.llm.tokens import BASES, Words, span_hashes, words
 
 PHRASE = 12
@@ -80,42 +80,51 @@ def _blocks(size: int):
     return run
 
 
+def _lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each row's items begin and end, and the items' fields, without a Python object per item."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    items = column.flatten()
+    return at, [items.field(f).to_numpy(zero_copy_only=False) for f in fields]
+
+
 def _windows(size: int):
     """Batches of (doc_id, row_hash, spans, text) to the fingerprints of the windows within the spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows, spans = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            ids, rows = batch.column(0), batch.column(1)
+            at, (lows, highs) = _lists(batch.column(2), "lo", "hi")
             for row, w in words(batch.column(3)):
                 hashes = w.hashes()
-                doc, starts = [], []
-                for i in range(len(w.first) - 1):
-                    own = np.concatenate([np.arange(s["lo"], s["hi"] - size + 1) for s in spans[row + i]])
-                    doc.append(np.full(len(own), row + i))
-                    starts.append(own)
-                doc, starts = np.concatenate(doc), np.concatenate(starts)
-                at = starts + w.first[doc - row]
-                one, two = (span_hashes(hashes, at, at + size, b).view(np.int64) for b in BASES[1:])
-                take = pa.array(doc)
+                texts = len(w.first) - 1
+                a, b = at[row], at[row + texts]
+                lo, counts = lows[a:b].astype(np.int64), (highs[a:b] - lows[a:b] - size + 1).astype(np.int64)
+                owner = np.repeat(np.repeat(np.arange(texts), np.diff(at[row : row + texts + 1])), counts)
+                starts = np.repeat(lo - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+                place = starts + w.first[owner]
+                one, two = (span_hashes(hashes, place, place + size, b).view(np.int64) for b in BASES[1:])
+                take = pa.array(row + owner)
                 yield pa.RecordBatch.from_arrays([ids.take(take), rows.take(take), pa.array(one), pa.array(two), pa.array(starts.astype(np.int32))], names=["doc_id", "row_hash", "one", "two", "lo"])
 
     return run
 
 
-def _parse(spans: list[dict]) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (lo, hi, reference document, its offset) from matched spans: at each place the longest run on."""
-    found: list[list[int]] = []
-    for s in sorted(spans, key=lambda s: (s["lo"], -s["hi"])):
-        lo, hi, ref, shift = s["lo"], s["hi"], s["ref"], s["ref_lo"] - s["lo"]
-        if found and lo <= found[-1][1] and (ref, shift) == (found[-1][2], found[-1][3]):
-            found[-1][1] = max(hi, found[-1][1])
-        elif not found or hi > found[-1][1]:
-            found.append([lo, hi, ref, shift])
-    return [tuple(f) for f in found]
+def _parse(lo: np.ndarray, hi: np.ndarray, ref: np.ndarray, ref_lo: np.ndarray) -> list[dict]:
+    """Greedy factors from matched spans: at each place the longest run on, along one diagonal of one document."""
+    found: list[dict] = []
+    for i in np.lexsort((-hi, lo)).tolist():
+        a, b, doc, shift = int(lo[i]), int(hi[i]), int(ref[i]), int(ref_lo[i]) - int(lo[i])
+        last = found[-1] if found else None
+        if last and a <= last["hi"] and (doc, shift) == (last["ref_doc"], last["ref_lo"] - last["lo"]):
+            last["hi"] = max(b, last["hi"])
+        elif not last or b > last["hi"]:
+            found.append({"lo": a, "hi": b, "ref_doc": doc, "ref_lo": a + shift})
+    return found
 
 
 def _kept(with_text: bool):
-    """Batches of (doc_id, spans, text) to what is left of each text."""
+    """Batches of (doc_id, spans, text) to what is left of each text; without texts, factors are left out too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,17 +133,18 @@ def _kept(with_text: bool):
 
     def left(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [], [])
-        for spans, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+        at, spans = _lists(batch.column(1), "lo", "hi", "ref", "ref_lo")
+        for i, text in enumerate(batch.column(2)):
             all_words = (text.as_py() or "").encode().split()
             n, factors = len(all_words), []
-            if spans:
-                factors = _parse(spans)
-                gone = np.zeros(n, bool)
-                for lo, hi, *_ in factors:
-                    gone[lo:hi] = True
+            if at[i] < at[i + 1]:
+                lo, hi, ref, ref_lo = (f[at[i] : at[i + 1]] for f in spans)
+                depth = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
+                gone = np.cumsum(depth)[:n] > 0
                 all_words = [x for x, g in zip(all_words, gone.tolist(), strict=True) if not g]
+                factors = _parse(lo, hi, ref, ref_lo) if with_text else []
             kept = b" ".join(all_words)
-            for column, value in zip(out, (n, n - len(all_words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, [{"lo": a, "hi": b, "ref_doc": r, "ref_lo": a + s} for a, b, r, s in factors]), strict=True):
+            for column, value in zip(out, (n, n - len(all_words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, factors), strict=True):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.large_string(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("ref_doc", pa.int64()), ("ref_lo", pa.int32())])))
         arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
@@ -146,7 +156,7 @@ def _kept(with_text: bool):
 
 def duplicate_spans(documents: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, row_hash, lo, hi, ref, ref_lo): stretches of words that stand in an earlier document, maybe overlapping."""
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
+    docs = lean(documents).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
     blocks = written(docs.mapInArrow(_blocks(min_words), "doc_id long, row_hash int, phrase long, block long, lo int, hi int"), "blocks")
     # Sums are written before they are joined back: a join of two plain exchanges can split a phrase that fills a task.
     seen = written(blocks.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("block") != F.max("block")).alias("several")).where("first < last").drop("last"), "seen")
@@ -164,9 +174,9 @@ def duplicate_spans(documents: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def dedup_substrings(documents: DataFrame, min_words: int = 50, with_text: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless with_text), factors (lo, hi, ref_doc, ref_lo)."""
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if with_text, kept_text and factors (lo, hi, ref_doc, ref_lo)."""
     spans = duplicate_spans(documents, min_words).groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("lo", "hi", "ref", "ref_lo")).alias("spans"))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
+    docs = lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
     return docs.join(spans, ["doc_id", "row_hash"], "left").select("doc_id", "spans", "text").mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<lo:int,hi:int,ref_doc:long,ref_lo:int>>")
 
 

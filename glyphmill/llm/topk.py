@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import written
+from glyphmill.llm.shared import lean, written
 
 BLOCK, GROUP, TILE = 1024, 8, 2048
 _PACKED = "part int, ids binary, dim int, rows binary"
@@ -141,7 +141,7 @@ def quantised(embedding: Column) -> Column:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score). vectors, queries: (vec_id long, q array<long>), without nulls."""
-    blocks = written(vectors.sortWithinPartitions("vec_id").mapInArrow(_packed(BLOCK), _PACKED), "blocks")
+    blocks = written(lean(vectors).sortWithinPartitions("vec_id").mapInArrow(_packed(BLOCK), _PACKED), "blocks")
     one_each = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
     tiles = written(one_each.sortWithinPartitions("vec_id").mapInArrow(_packed(TILE), _PACKED), "tiles")
     groups, columns = max(1, -(-blocks.count() // GROUP)), max(1, tiles.count())

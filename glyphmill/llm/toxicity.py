@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.learning import held_out, labelled_sample, logistic
+from glyphmill.llm.shared import lean
 from glyphmill.llm.tokens import NOT_LETTERS, Words, mix, words
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -189,7 +190,7 @@ def scored(documents: DataFrame, grammar: Grammar) -> DataFrame:
                 sums = grammar.sums(w)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sums)), pa.array(grammar.scores(sums)), *(pa.array(c) for c in sums.T)], names=["doc_id", "score", "plain", "targeted", "negated", "reported", "threat"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, plain double, targeted double, negated double, reported double, threat double")
+    return lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, plain double, targeted double, negated double, reported double, threat double")
 
 
 def keep_clean(documents: DataFrame, grammar: Grammar, threshold: float = 0.3) -> DataFrame:
@@ -204,7 +205,7 @@ def keep_clean(documents: DataFrame, grammar: Grammar, threshold: float = 0.3) -
                 good = grammar.scores(grammar.sums(w)) < threshold
                 yield batch.slice(row, len(good)).filter(pa.array(good))
 
-    return documents.mapInArrow(run, kinds)
+    return lean(documents).mapInArrow(run, kinds)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
