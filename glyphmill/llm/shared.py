@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.workers import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir), or one of our own where it is unset."""
@@ -27,6 +29,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 def lean(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches hold 8 MB, unless the session has a size of its own: texts are long, and each
     batch is held several times over on its way to a worker and back."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get(_BATCH) == "67108864b":
         conf.set(_BATCH, "8m")
