@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.workers import ship
+
 SCHEMA = "path string, image_width int, image_height int, text_regions array<struct<bbox:array<array<double>>,text:string,score:double,source:string>>, detection_ms double, recognition_ms double, total_ms double, error string"
 
 
@@ -78,6 +80,7 @@ def recognise(images: DataFrame, factory: Callable[[], Backend], name: str = "ba
                     rows.append((path, None, None, [], None, None, None, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=["path", "image_width", "image_height", "text_regions", "detection_ms", "recognition_ms", "total_ms", "error"]).astype({"image_width": "Int32", "image_height": "Int32"})
 
+    ship(images.sparkSession)
     return images.select("path", "content").mapInPandas(run, SCHEMA)
 
 
@@ -126,6 +129,7 @@ def detect(images: DataFrame, factory: Callable[[], Detector], limit: int = 640,
                     rows.append((path, content, None, None, [], None, None, None, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=["path", "content", "width", "height", "quads", "ratio_h", "ratio_w", "detection_ms", "error"]).astype({"width": "Int32", "height": "Int32"})
 
+    ship(images.sparkSession)
     return images.select("path", "content").mapInPandas(run, f"path string, content binary, width int, height int, quads {QUADS}, ratio_h double, ratio_w double, detection_ms double, error string")
 
 
@@ -172,6 +176,7 @@ def recognise_regions(regions: DataFrame, factory: Callable[[], Recogniser], alp
                 times.append((time.perf_counter() - begin) * 1000)
             yield part.drop(columns=["content"]).assign(scores=scores, recognition_ms=times, error=errors)
 
+    ship(regions.sparkSession)
     plain = regions.select("path", "content", "width", "height", "boxes", "detection_ms", "error")
     schema = "path string, width int, height int, boxes array<struct<box:array<struct<x:double,y:double>>,source:string>>, detection_ms double, error string, scores array<array<array<double>>>, recognition_ms double"
     read = plain.mapInPandas(run, schema)

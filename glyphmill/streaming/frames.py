@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from glyphmill.workers import ship
+
 SIZE = 200
 FRAME = "frame_id long, ts timestamp, camera string, seconds double, text string, score double"
 _OUT = "camera string, frame_id long, ts timestamp, seconds double, mean_ms double, fps double"
@@ -42,6 +44,7 @@ def rolling_latency(stream: DataFrame, size: int = SIZE) -> DataFrame:
         state.update((values.tolist()[-(size - 1) :] if size > 1 else [],))
         yield pd.DataFrame({"camera": key[0], "frame_id": rows["frame_id"], "ts": rows["ts"], "seconds": rows["seconds"], "mean_ms": mean, "fps": [1000 / m if m > 0 else None for m in mean]})
 
+    ship(stream.sparkSession)
     return stream.groupBy("camera").applyInPandasWithState(step, _OUT, "last array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
