@@ -68,7 +68,8 @@ def statistics(w: Words) -> np.ndarray:
     for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
         if b > a:
             _, place, counts = np.unique(hashes[a:b], return_inverse=True, return_counts=True)
-            distinct[i], commonest[i] = len(counts) / (b - a), counts.max() / (b - a)
+            # On a logarithmic scale the variety of words hardly depends on a text's length.
+            distinct[i], commonest[i] = np.log1p(len(counts)) / np.log1p(b - a), counts.max() / (b - a)
             # Words longer than six bytes that come three times or more.
             repeated[a:b] = (counts[place] >= 3) & (length[a:b] > 6)
     again = _per(repeated, w.first) / some
