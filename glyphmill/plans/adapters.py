@@ -92,7 +92,7 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = "l_partkey % 4"
     corners = ", ".join(f"named_struct('x', cast({_CORNERS['x'][i]} as double), 'y', cast({_CORNERS['y'][i]} as double))" for i in range(4))
     ordered = Window.partitionBy("l_orderkey").orderBy(*_ORDER)
-    return rows.select(F.col("l_orderkey").alias("image"), F.row_number().over(ordered).alias("idx"), F.expr(f"transform(array(0, 1, 2, 3), i -> array({corners})[cast((i + {turn}) % 4 as int)])").alias("quad"))
+    return rows.select(F.col("l_orderkey").alias("image"), F.row_number().over(ordered).cast("long").alias("idx"), F.expr(f"transform(array(0, 1, 2, 3), i -> array({corners})[cast((i + {turn}) % 4 as int)])").alias("quad"))
 
 
 def image_quads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,8 +146,8 @@ _EVALUATED = _EVALUATED.format(steps=",\n".join(_steps) + ",")
 _KEYS = dict(enumerate(E.FIELDS, 1))
 _FIELD = "CASE f " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in _KEYS.items()) + " END"
 _OVER = "ov AS (SELECT pipeline, base, sum(s * 0.25) AS score, bool_and(kind = 'exact') AS ex, bool_and(kind IN ('exact', 'acceptable')) AS ac FROM wide GROUP BY pipeline, base)"
-_FIELDS_SQL = f"fs AS (SELECT pipeline, {_FIELD} AS field, count(*) AS num_images, avg(s) AS avg_score, count_if(kind = 'exact') AS exact_count, count_if(kind IN ('exact', 'acceptable')) AS acceptable_count, count_if(kind = 'rejected') AS rejected_count, count_if(kind = 'missing') AS missing_count, avg(CAST(kind = 'exact' AS INTEGER)) * 100 AS exact_pct, avg(CAST(kind IN ('exact', 'acceptable') AS INTEGER)) * 100 AS acceptable_pct FROM wide GROUP BY 1, 2)"
-_OVERALL_SQL = "os AS (SELECT pipeline, count(*) AS num_images, avg(score) AS avg_score, count_if(ex) AS all_exact_count, count_if(ac) AS all_acceptable_count, avg(CAST(ex AS INTEGER)) * 100 AS all_exact_pct, avg(CAST(ac AS INTEGER)) * 100 AS all_acceptable_pct FROM ov GROUP BY pipeline)"
+_FIELDS_SQL = f"fs AS (SELECT pipeline, {_FIELD} AS field, count(*) AS num_images, avg(s) AS avg_score, CAST(count_if(kind = 'exact') AS BIGINT) AS exact_count, CAST(count_if(kind IN ('exact', 'acceptable')) AS BIGINT) AS acceptable_count, CAST(count_if(kind = 'rejected') AS BIGINT) AS rejected_count, CAST(count_if(kind = 'missing') AS BIGINT) AS missing_count, avg(CAST(kind = 'exact' AS INTEGER)) * 100 AS exact_pct, avg(CAST(kind IN ('exact', 'acceptable') AS INTEGER)) * 100 AS acceptable_pct FROM wide GROUP BY 1, 2)"
+_OVERALL_SQL = "os AS (SELECT pipeline, count(*) AS num_images, avg(score) AS avg_score, CAST(count_if(ex) AS BIGINT) AS all_exact_count, CAST(count_if(ac) AS BIGINT) AS all_acceptable_count, avg(CAST(ex AS INTEGER)) * 100 AS all_exact_pct, avg(CAST(ac AS INTEGER)) * 100 AS all_acceptable_pct FROM ov GROUP BY pipeline)"
 ORACLES = {
     "filename_base": f"SELECT p_partkey, regexp_replace(regexp_replace(stem, '^result_', ''), '_result$', '') AS base, stem, suffix FROM (SELECT p_partkey, regexp_replace(name, '\\.[^.]*$', '') AS stem, lower(regexp_extract(name, '(\\.[^.]+)$', 1)) AS suffix FROM ({_FILES}))",
     "normalize_text": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE replace(upper(regexp_replace((CASE WHEN p_partkey % 2 = 0 THEN chr(9) || ' ' ELSE '' END) || p_name || (CASE WHEN p_partkey % 3 = 0 THEN chr(10) ELSE ' ' END), '^\\s+|\\s+$', '', 'g')), ' ', '') END AS normal FROM part",
