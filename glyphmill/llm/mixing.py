@@ -6,8 +6,10 @@ weight. In closed form: with sources by most * words / weight, all before some p
 share what is left.
 
 Draws. A source's documents are permuted by a hash and cut into BLOCKS blocks. Its quota is a number of whole
-passes, then whole blocks from the front, then whole documents of the boundary block, then up to FILLS more
-documents, each the largest that fits what is still missing. Documents are never cut.
+passes, then whole blocks from the front, then whole documents of the boundary block, then FILLS more
+documents, each the largest that fits what is still missing. What is missing then is filled in rounds until no
+document fits: a round takes the largest document if that is over half of the gap, else documents in permuted order
+as long as they fit. Either way the gap halves, so there are few rounds. Documents are never cut.
 
 Tree. The drawn blocks of all sources are split among output shards from the root down: at every node a
 random half, by a hash of block and level, goes left. The source counts of a random half follow the
@@ -18,8 +20,8 @@ Only a few words a document are shuffled, never the texts, and a source of any s
 over its blocks.
 
 Cases. Null and empty texts: size 0, taken 0. Null source: a source, ordered last. Null doc_id: permuted as
-one value. Repeated rows (same id, source and size) are drawn together when their block is; in the fill they
-count once each. Empty tables give no rows. Other columns are ignored.
+one value. Repeated rows (same id, source and size) are drawn together when their block is; in the first FILLS
+they count once each, in the rounds after them with all copies. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,8 +64,38 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def drawn(documents: DataFrame, most: float = 3.0) -> DataFrame:
-    """One row per document: doc_id, row_hash, source, size, source_size, target, passes, taken, shards (of each whole draw)."""
+def _filled(placed: DataFrame) -> DataFrame:
+    """placed, with more documents taken until none that is left fits its source's gap."""
+    gaps = placed.groupBy("source").agg((F.first("rest") - F.sum(F.col("size") * F.col("taken_too"))).alias("gap")).where("gap > 0").select(F.col("source").alias("s"), "gap")
+    free = placed.where("taken_too = 0 and size > 0").join(gaps, _same("source", "s")).where("size <= gap")
+    free = free.groupBy("s", "gap", "block", "key", "doc_id", "size", "row_hash").agg(F.sum("size").alias("words")).where("words <= gap")
+    free, more = written(free, "free"), None
+    while not free.isEmpty():
+        by_block = free.groupBy("s", "gap", "block").agg(F.sum("words").alias("all"), F.max(F.struct("words", "key", "doc_id", "size", "row_hash")).alias("most"))
+        blocks = by_block.withColumn("upto", F.sum("all").over(Window.partitionBy("s").orderBy("block"))).withColumn("most", F.max("most").over(Window.partitionBy("s")))
+        blocks = blocks.withColumn("state", F.when(F.col("most.words") * 2 > F.col("gap"), 3).when(F.col("upto") <= F.col("gap"), 1).when(F.col("upto") - F.col("all") < F.col("gap"), 2).otherwise(0))
+        blocks = blocks.select(F.col("s").alias("of"), F.col("block").alias("b"), "most", "state", (F.col("upto") - F.col("all")).alias("begin"))
+        here = free.join(blocks, F.col("s").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b"))).drop("of", "b")
+        largest = F.struct("words", "key", "doc_id", "size", "row_hash").eqNullSafe(F.col("most"))
+        in_order = Window.partitionBy("s").orderBy("key", "doc_id", "size", "row_hash")
+        edge = here.where("state = 2").withColumn("pick", F.col("begin") + F.sum("words").over(in_order) <= F.col("gap"))
+        here = here.where("state <> 2").withColumn("pick", (F.col("state") == 1) | (F.col("state") == 3) & largest).unionByName(edge).drop("most", "state", "begin")
+        here = written(here, "filled")
+        picks = here.where("pick").select(F.col("s"), F.col("key").alias("k"), F.col("size").alias("z"), F.col("row_hash").alias("h"), F.col("doc_id").alias("d"))
+        more = picks if more is None else more.unionByName(picks)
+        left = here.groupBy("s").agg((F.first("gap") - F.sum(F.when(F.col("pick"), F.col("words")).otherwise(0))).alias("gap")).select(F.col("s").alias("of"), "gap")
+        free = here.where("not pick").drop("gap", "pick").join(left, F.col("s").eqNullSafe(F.col("of"))).drop("of").where("words <= gap")
+    if more is None:
+        return placed
+    mine = (F.col("key") == F.col("k")) & (F.col("size") == F.col("z")) & (F.col("row_hash") == F.col("h")) & _same("doc_id", "d") & _same("source", "s")
+    return placed.join(more, mine, "left").withColumn("taken_too", F.when(F.col("k").isNotNull(), 1).otherwise(F.col("taken_too"))).drop("s", "k", "z", "h", "d")
+
+
+def drawn(documents: DataFrame, most: float = 3.0, whole: bool = True) -> DataFrame:
+    """One row per document: doc_id, row_hash, source, size, source_size, target, passes, taken, shards (of each whole draw).
+
+    Without `whole` the fill ends after FILLS documents a source, as it does in the SQL of op7.
+    """
     rows = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "source", word_count(F.col("text")).alias("size"), _draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit(""))).alias("key")).withColumn("block", (F.col("key") % BLOCKS).cast("int")), "sized")
     targets = source_targets(rows, most).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     targets = written(targets, "targets")
@@ -91,6 +123,8 @@ def drawn(documents: DataFrame, most: float = 3.0) -> DataFrame:
         mine = _same("source", "s") & (F.col("key") == F.col("k")) & (F.col("size") == F.col("z")) & (F.col("row_hash") == F.col("h"))
         # Written, since the next round reads it twice: nested, the rounds' plans would double each time.
         placed = written(placed.join(best, mine, "left").withColumn("taken_too", F.when(F.col("k").isNotNull(), 1).otherwise(F.col("taken_too"))).drop("s", "k", "z", "h"), "filled")
+    if whole:
+        placed = _filled(placed)
     times = F.col("passes") + F.col("taken_too")
     return placed.select("doc_id", "row_hash", "source", "size", "source_size", F.round("target", 6).alias("target"), times.alias("times"), (times * F.col("size")).cast("long").alias("taken"), "shards", "key")
 
@@ -106,7 +140,7 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return drawn(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return drawn(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 _FILL = "\n".join(

@@ -232,6 +232,18 @@ def test_mix_of_many_documents_is_near(spark):
     assert len(shards) == 8 and min(r["count"] for r in shards) > 0.8 * max(r["count"] for r in shards)
 
 
+def test_mix_fills_gaps_that_long_documents_leave(spark):
+    rng = np.random.default_rng(11)
+    sizes = [(f"s{k}", int(n)) for k in range(3) for n in [*rng.integers(5, 60, 500), 20_000, 20_000, 20_000]]
+    table = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
+    plan = mixing.drawn(table).collect()
+    for source in ("s0", "s1", "s2"):
+        mine = [r for r in plan if r.source == source]
+        gap = mine[0].target - sum(r.taken for r in mine)
+        free = [r.size for r in mine if r.times == min(x.times for x in mine)]
+        assert len(mine) == 503 and gap >= 0 and (mine[0].target % mine[0].source_size == 0 or min(free) > gap)
+
+
 def vectors(spark, seed=0, n=400, dim=6):
     rng = np.random.default_rng(seed)
     rows = [(i, [float(x) for x in rng.normal(0, 0.5, dim).astype("float32")]) for i in range(n)]
