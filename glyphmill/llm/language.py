@@ -9,8 +9,9 @@ Automata are dense tables: a missing transition holds, negated, where the parse
 cut into blocks of BLOCK characters that end a phrase, and all blocks of a slice walk all automata in lockstep,
 one numpy step a character. Whole texts are parsed.
 
-Characters are lower-cased; everything that is not a letter is one space; letters beyond the commonest
-SYMBOLS of the samples are one symbol that no automaton has.
+Characters are lower-cased; everything that is not a letter is one space. Every letter of the samples is a symbol of
+its own: transitions of the commonest SYMBOLS are in the dense tables, all others in one sorted list of (state, symbol).
+Letters that no sample has are a phrase of their own.
 
 Cases. Null and empty texts, and those with no letter: `und`, score 0. Null lang: teaches nothing. Null doc_id: held
 out. No labelled text at all: `und`. Repeated rows: predicted alike. Other columns are ignored.
@@ -35,6 +36,8 @@ SYMBOLS = 56
 BLOCK = 256
 _SPACE, _OTHER, _PAD = 0, SYMBOLS + 1, SYMBOLS + 2
 _WIDTH = SYMBOLS + 3
+#: States that walk at once; more languages than fit walk one group after the other.
+_AT_ONCE = 4_000_000
 
 
 class SuffixAutomaton:
@@ -67,21 +70,26 @@ class SuffixAutomaton:
                     link[q] = link[now] = twin
             last = now
 
-    def table(self) -> np.ndarray:
-        """Row of states by symbol: the next state, or ~(state after a restart with that symbol).
+    def table(self) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Row of states by symbol: the next state, or ~(state after a restart with that symbol); and (state, symbol, next state) of rarer symbols.
 
         One more state, the last, stands for a symbol the sample lacks: a phrase of its own that nothing continues.
         """
         n = len(self.next)
         out = np.full((n + 1, _WIDTH), ~n, np.int32)
         for c, to in self.next[0].items():
-            out[:, c] = ~to
+            if c < _WIDTH:
+                out[:, c] = ~to
         out[0] = n  # at a start no phrase ends
+        rare = []
         for state, row in enumerate(self.next):
             for c, to in row.items():
-                out[state, c] = to
+                if c < _WIDTH:
+                    out[state, c] = to
+                else:
+                    rare.append((state, c, to))
         out[:, _PAD] = np.arange(n + 1)
-        return out
+        return out, rare
 
 
 class Parser:
@@ -89,18 +97,24 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]) -> None:
         counts = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
-        self.symbols = {c: i + 1 for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS])}
+        self.symbols = {c: i + 1 if i < SYMBOLS else i - SYMBOLS + _WIDTH for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
         self.languages = sorted(samples)
         self._codes = None
-        tables, self.roots, base = [], [], 0
+        self.size = max(self.symbols.values(), default=0) + 1
+        tables, rare, self.roots, self.ends, base = [], [], [], [], 0
         for language in self.languages:
             lower = np.frombuffer(samples[language].lower().encode("utf-32-le"), np.uint32)
-            one = SuffixAutomaton(self._squeeze(self.codes[lower]).tolist()).table()
+            one, others = SuffixAutomaton(self._squeeze(self.codes[lower]).tolist()).table()
             one = np.where(one >= 0, one + base, one - base)
             tables.append(one)
+            rare += [((state + base) * self.size + c, to + base) for state, c, to in others]
             self.roots.append(base)
             base += len(one)
+            self.ends.append(base - 1)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        rare.sort()
+        self.rare = np.array([k for k, _ in rare], np.int64)
+        self.rare_to = np.array([to for _, to in rare], np.int32)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_codes": None}
@@ -110,7 +124,7 @@ class Parser:
         """Symbol of each code point."""
         if self._codes is None:
             letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-            self._codes = np.where(letters, _OTHER, _SPACE).astype(np.uint8)
+            self._codes = np.where(letters, _OTHER, _SPACE).astype(np.int32)
             self._codes[[ord(c) for c in self.symbols]] = list(self.symbols.values())
         return self._codes
 
@@ -120,6 +134,17 @@ class Parser:
         keep[1:] = (symbols[1:] != _SPACE) | (symbols[:-1] != _SPACE)
         return symbols[keep]
 
+    def _step(self, state: np.ndarray, symbols: np.ndarray, roots: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What the dense tables hold for common symbols, for rarer ones."""
+
+        def look(at: np.ndarray, none: np.ndarray) -> np.ndarray:
+            keys = at * np.int64(self.size) + symbols
+            place = np.minimum(np.searchsorted(self.rare, keys), len(self.rare) - 1)
+            return np.where(self.rare[place] == keys, self.rare_to[place], none)
+
+        start = look(roots, ends)
+        return look(state, np.where(state == roots, start, ~start))
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text by each language, and the text's letters."""
         parts, letters = [], np.zeros(len(texts), np.int64)
@@ -133,23 +158,31 @@ class Parser:
         out = np.zeros((len(self.languages), len(texts)))
         if not lanes or not self.languages:
             return out, letters
-        grid = np.full(lanes * BLOCK, _PAD, np.uint8)
+        grid = np.full(lanes * BLOCK, _PAD, np.int32)
         begin = np.concatenate([[0], np.cumsum(blocks)]) * BLOCK
         for p, at in zip(parts, begin.tolist(), strict=False):
             grid[at : at + len(p)] = p
-        columns = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T).astype(np.int32)
-        k = len(self.languages)
-        state = np.repeat(np.array(self.roots, np.int32), lanes)
-        count = np.zeros(k * lanes, np.int32)
-        for step in columns:
-            to = self.table[state * np.int32(_WIDTH) + np.tile(step, k)]
-            sign = to >> 31
-            count -= sign
-            state = to ^ sign
-        count += 1  # the phrase that the block's end closes
+        columns = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        for row, counts in zip(out, count.reshape(k, lanes), strict=True):
-            row += np.bincount(owner, counts, len(texts))
+        group = max(1, _AT_ONCE // lanes)
+        for first in range(0, len(self.languages), group):
+            k = len(self.roots[first : first + group])
+            roots, ends = (np.repeat(np.array(x[first : first + group], np.int32), lanes) for x in (self.roots, self.ends))
+            state = roots
+            count = np.zeros(k * lanes, np.int32)
+            for step in columns:
+                rare = np.flatnonzero(step > _PAD)
+                common = np.minimum(step, _PAD) if len(rare) else step
+                to = self.table[state * np.int32(_WIDTH) + np.tile(common, k)]
+                if len(rare):
+                    at = (np.arange(k)[:, None] * lanes + rare).ravel()
+                    to[at] = self._step(state[at], np.tile(step[rare], k), roots[at], ends[at])
+                sign = to >> 31
+                count -= sign
+                state = to ^ sign
+            count += 1  # the phrase that the block's end closes
+            for row, counts in zip(out[first : first + k], count.reshape(k, lanes), strict=True):
+                row += np.bincount(owner, counts, len(texts))
         return out, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:

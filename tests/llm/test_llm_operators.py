@@ -406,6 +406,19 @@ def test_automaton_finds_longest_matches():
         assert phrases[0, 0] == substring_phrases(text, sample)
 
 
+def test_every_letter_of_the_samples_is_a_symbol():
+    scripts = {"el": (0x3B1, 24), "en": (0x61, 26), "hy": (0x561, 38), "ja": (0x3041, 80), "ko": (0xAC00, 600), "ru": (0x430, 32), "zh": (0x4E00, 900)}
+    letters = {lang: "".join(chr(c) for c in range(at, at + n)) for lang, (at, n) in scripts.items()}
+    samples = {lang: prose(i, 400, a) for i, (lang, a) in enumerate(letters.items())}
+    parser = language.Parser(samples)
+    mixed = prose(77, 20, letters["zh"][:60] + letters["ko"][:60] + "abñ")
+    texts = [*(prose(60 + i, 25, a) for i, a in enumerate(letters.values())), mixed]
+    assert parser.predict(texts)[0][:-1] == parser.languages
+    phrases, _ = parser.phrases([t[: language.BLOCK] for t in texts])
+    for i, text in enumerate(texts):
+        assert [phrases[k, i] for k in range(len(samples))] == [substring_phrases(text[: language.BLOCK], samples[lang]) for lang in parser.languages]
+
+
 def test_every_operator_takes_an_empty_table(spark, empty, tmp_path):
     benchmark, labels = spark.createDataFrame([], BENCHMARK), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert substring_dedup.dedup_substrings(empty).count() == 0
