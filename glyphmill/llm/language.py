@@ -1,8 +1,8 @@
 """Language ID by cross-parsing entropy.
 
-For each language a bounded sample of its labelled text (CHARS characters for all languages together, from at
-most MOST_LANGUAGES, the commonest) becomes a suffix automaton: the automaton that accepts exactly the substrings
-of that text. A text is parsed by each automaton into greedy longest matches; the language that needs the fewest
+For each language a bounded sample of its labelled text (CHARS characters for all languages together, shared out
+evenly, at most MOST_CHARS each) becomes a suffix automaton: the automaton that accepts exactly the substrings
+of that text. The sample is windows cut out of texts of any length. A text is parsed by each automaton into greedy longest matches; the language that needs the fewest
 phrases a character wins, ties to the language that sorts first.
 
 Automata are dense tables: a missing transition holds, negated, where the parse restarts from the root. Texts are
@@ -28,10 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.learning import held_out
-from glyphmill.llm.shared import lean
+from glyphmill.llm.shared import lean, written
 
 CHARS, MOST_CHARS = 160_000, 24_000
-MOST_LANGUAGES = 40
 SYMBOLS = 56
 BLOCK = 256
 _SPACE, _OTHER, _PAD = 0, SYMBOLS + 1, SYMBOLS + 2
@@ -196,16 +195,18 @@ class Parser:
 
 
 def fit(documents: DataFrame) -> Parser:
-    """Automata from whole documents outside the held-out fold, chosen by a hash of doc_id, until a language has its share of CHARS."""
-    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)).alias("draw"), F.length("text").alias("n"))
-    share = min(MOST_CHARS, CHARS // MOST_LANGUAGES * 4)
-    fits = F.col("n").between(1, share // 4)
-    found = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.when(fits, F.col("n"))).alias("chars")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).collect()
-    share = min(MOST_CHARS, CHARS // max(1, len(found)))
-    # About twice the share of each language is read, so that copies of a text may be left out.
-    part = F.coalesce(*(F.when(F.col("lang") == r.lang, F.col("draw") < (1 << 30) * 2.0 * share / r.chars) for r in found if r.chars), F.lit(False))
+    """Automata from windows of the documents outside the held-out fold, chosen by a hash, until a language has its share of CHARS."""
+    draw = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(1 << 30))
+    known = documents.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out()).select("lang", "text", F.col("doc_id").cast("long").alias("id"), F.length("text").alias("n"))
+    found = written(known.groupBy("lang").agg(F.sum("n").alias("chars"), F.min(draw("id")).alias("least")), "languages")
+    share = max(1, min(MOST_CHARS, CHARS // max(1, found.count())))
+    window = min(share, max(BLOCK, share // 16))
+    # About twice the share of each language is read, so that copies may be left out; its first document is read in any case.
+    part = draw("id", "at") < (1 << 30) * (2.0 * share + 16 * window) / F.col("chars")
+    windows = known.join(F.broadcast(found), "lang").withColumn("at", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / window))))
+    windows = windows.where(part | (F.col("at") == 0) & (draw("id") == F.col("least"))).select("lang", F.substring("text", F.col("at").cast("int") * window + 1, F.lit(window)).alias("text"))
     samples: dict[str, list[str]] = {}
-    for r in known.where(fits & part).select("lang", "text").distinct().orderBy("lang", F.xxhash64("text")).toLocalIterator():
+    for r in windows.distinct().orderBy("lang", F.xxhash64("text")).toLocalIterator():
         own = samples.setdefault(r.lang, [])
         if sum(map(len, own)) < share:
             own.append(r.text)

@@ -419,6 +419,16 @@ def test_every_letter_of_the_samples_is_a_symbol():
         assert [phrases[k, i] for k in range(len(samples))] == [substring_phrases(text[: language.BLOCK], samples[lang]) for lang in parser.languages]
 
 
+def test_every_language_is_learned(spark):
+    letters = lambda k: "".join(chr(0x4E00 + 8 * k + i) for i in range(8))
+    rows = [(i, prose(i, 30, letters(k)), f"l{k:02}") for i in range(450) for k in [i % 45]]
+    rows += [(1000 + i, prose(1000 + i, 3000, letters(50)), "long") for i in range(10)]  # over 10,000 characters each
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = language.fit(table)
+    assert parser.languages == sorted({r[2] for r in rows})
+    assert parser.predict([r[1][:2000] for r in rows])[0] == [r[2] for r in rows]
+
+
 def test_every_operator_takes_an_empty_table(spark, empty, tmp_path):
     benchmark, labels = spark.createDataFrame([], BENCHMARK), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert substring_dedup.dedup_substrings(empty).count() == 0
