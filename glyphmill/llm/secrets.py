@@ -3,8 +3,9 @@
 Base spans are the leftmost non-overlapping matches of three patterns; they always stay. Further candidates are
 tokens of LEAST or more characters that mix letters and digits and have a sensitive word within NEAR
 characters before them. A candidate's novelty is what it adds to the compressed size when zstandard is primed with
-a dictionary of identifiers and the text around it; incompressible candidates (novelty of SHARE of their
-bytes or more) are reported as kind `novel`. Base spans get a novelty too.
+a dictionary of identifiers and the text around it; incompressible candidates are reported as kind `novel`: those
+with a novelty of SHARE of their bytes or more, or of LIKE_RANDOM of what random characters from the candidate's own
+alphabet add in its place, since zstandard codes long random tokens of few letters in fewer bytes. Base spans get a novelty too.
 
 Whole texts are searched; cheap searches for bytes that any match must hold skip the rest.
 
@@ -15,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -33,7 +35,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Words that make the characters after them sensitive.
 _SENSITIVE = re.compile(r"passw(?:or)?d|secret|token|api.?key|access.?key|private.?key|credential|authorization|bearer", re.IGNORECASE | re.ASCII)
-LEAST, NEAR, AROUND, SHARE = 16, 48, 512, 0.7
+LEAST, NEAR, AROUND, SHARE, LIKE_RANDOM = 16, 48, 512, 0.7, 0.9
 _TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _IDENTIFIERS = b" ".join([b"username password passwd secret token api_key apikey access_key private_key client_id client_secret authorization bearer credential config default environment localhost example version number identifier", b"true false null none return import function class static public private const string integer boolean value index length buffer request response session account service http https www com org net json xml html utf base64 sha256 md5"])
 _HEXES = np.zeros(256, bool)
@@ -56,12 +58,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def novelty(text: str, start: int, end: int) -> int:
-    """Bytes that text[start:end] adds to its primed surroundings when compressed."""
+def novelty(text: str, start: int, end: int, token: str | None = None) -> int:
+    """Bytes that text[start:end], or token in its place, adds to its primed surroundings when compressed."""
     around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
     primer = zstandard.ZstdCompressionDict(_IDENTIFIERS + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     pack = zstandard.ZstdCompressor(level=3, dict_data=primer, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return max(0, len(pack.compress(text[start:end].encode("utf-8", "replace"))) - len(pack.compress(b"")))
+    return max(0, len(pack.compress((text[start:end] if token is None else token).encode("utf-8", "replace"))) - len(pack.compress(b"")))
+
+
+def random_novelty(text: str, start: int, end: int) -> int:
+    """Bytes that as many random characters from the alphabet of text[start:end] would add there; the same on every call."""
+    alphabet = sorted(set(text[start:end]))
+    return novelty(text, start, end, "".join(random.Random(end - start).choices(alphabet, k=end - start)))
 
 
 def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -81,7 +89,7 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
             if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)) or any(a < end and m.start() < b for a, _, b in known) or any(s[0] == m.start() for s in out):
                 continue
             new = novelty(text, m.start(), end)
-            if new >= SHARE * len(token):
+            if new >= SHARE * len(token) or new >= LIKE_RANDOM * random_novelty(text, m.start(), end):
                 out.append((m.start(), 3, end, new))
     return out
 
