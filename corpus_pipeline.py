@@ -24,9 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of one id and text are one document; rows with a null id stay as they are."""
-    gone = near_dedup.near_groups(docs).where("not kept").select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"))
-    return rows.join(gone, F.col("d") == F.col("doc_id"), "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    gone = near_dedup.near_groups(docs).where("not kept").select("doc_id", "row_hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.hash("text").alias("r"))
+    return rows.join(gone, (F.col("d") == F.col("doc_id")) & (F.col("r") == F.col("row_hash")), "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def _links(least: int):
 
 
 def near_groups(documents: DataFrame, size: int = 5, similarity: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. similarity: percent, 75 or more."""
+    """One row per document: doc_id, row_hash, n_shingles, component_id, kept. similarity: percent, 75 or more."""
     if similarity < 75:
         raise ValueError("the bands are laid out for similarities of 75 percent or more")
     docs = lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
@@ -197,13 +197,13 @@ def near_groups(documents: DataFrame, size: int = 5, similarity: int = 75) -> Da
     cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "items")
     links = cells.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(_links(similarity), "a long, b long")
     groups = components(links)
-    rooted = all_rows.drop("bands").join(groups, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root"))
+    rooted = all_rows.drop("bands").join(groups, "node", "left").select("doc_id", "row_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root"))
     least = written(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")  # written, so that the join can split a hot group
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return rooted.join(least, "root", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_hash")
 
 
 SQL = r"""

@@ -103,6 +103,13 @@ def test_stages_keep_what_they_should(spark, data):
         seen = out
 
 
+def test_near_copies_leave_other_texts_of_their_id(spark):
+    copy, other = (" ".join(f"{w}{i}" for i in range(80)) for w in ("a", "b"))
+    rows = [(1, copy), (3, copy), (3, other), (None, copy)]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert Counter(map(tuple, out.collect())) == Counter([rows[0], rows[2], rows[3]])
+
+
 def test_run_is_the_stages(spark, data):
     rows = corpus_pipeline.run(spark, data)
     assert rows.count() > 0 and len(corpus_pipeline.STAGES) == 5
