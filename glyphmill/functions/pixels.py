@@ -144,8 +144,8 @@ def box_score(probabilities: np.ndarray, quad: np.ndarray) -> float:
     return float((probabilities[y0 : y1 + 1, x0 : x1 + 1] * mask).sum() / (mask.sum() + 1e-6))
 
 
-def boxes(probabilities: np.ndarray, threshold: float = 0.3, box_threshold: float = 0.6, most: int = 1000, min_side: float = 3.0) -> list[np.ndarray]:
-    """Rectangles around what is over the threshold, with a mean of box_threshold or more and sides of min_side or more."""
+def boxes(probabilities: np.ndarray, threshold: float = 0.3, box_threshold: float = 0.6, most: int | None = None, min_side: float = 3.0) -> list[np.ndarray]:
+    """Rectangles around what is over the threshold, with a mean of box_threshold or more and sides of min_side or more; of the first `most` outlines, if given."""
     out = []
     for points in outlines(probabilities > threshold)[:most]:
         if len(points) < 4:

@@ -75,3 +75,11 @@ def test_images_to_texts(spark):
     found = R.recognise_regions(R.label_regions(R.detect(images, Toy)), Toy, F.array(*(F.lit(c) for c in ("blank", "x", "y")))).orderBy("path").collect()
     assert [r.text for r in found[0].text_regions] == ["x", "x", "y", "x"] and found[0].error is None and found[0].total_ms > 0
     assert found[1].text_regions == [] and found[1].error.startswith("ValueError")
+
+
+def test_boxes_behind_many_outlines_are_found():
+    p = np.zeros((140, 160))
+    p[:90:2, ::2] = 0.9  # 3,600 dots
+    p[110:125, 30:90] = 0.9
+    found = P.boxes(p)
+    assert len(found) == 1 and found[0][:, 1].min() >= 105
