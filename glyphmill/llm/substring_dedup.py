@@ -8,8 +8,9 @@ one position in twenty is indexed. A phrase's block holds every window that chos
 1. Blocks are compared by fingerprint. A block that stands whole in an earlier document is one long factor.
 2. Factor boundaries: where blocks of one phrase differ, their windows are compared one by one (first
    occurrence by a map-side combined minimum), so a factor ends at the exact word where its copy ends.
-3. Each document is parsed greedily from left to right: adjacent matches of one diagonal of one earlier
-   document make one factor; the words that factors of `min_words` or more cover go.
+3. The words that matched blocks and windows cover go. With `with_text`, matches are also listed as factors:
+   adjacent matches of one diagonal of one earlier document make one. Factors do not decide which words go, and each
+   match has one reference fixed beforehand, so a factor need not be the longest one possible.
 
 Fingerprints of a window have 128 bits (two independent 64-bit hashes, or phrase and block hash together).
 
