@@ -8,9 +8,14 @@ one position in twenty is indexed. A phrase's block holds every window that chos
 1. Blocks are compared by fingerprint. A block that stands whole in an earlier document is one long factor.
 2. Factor boundaries: where blocks of one phrase differ, their windows are compared one by one (first
    occurrence by a map-side combined minimum), so a factor ends at the exact word where its copy ends.
-3. The words that matched blocks and windows cover go. With `with_text`, matches are also listed as factors:
-   adjacent matches of one diagonal of one earlier document make one. Factors do not decide which words go, and each
-   match has one reference fixed beforehand, so a factor need not be the longest one possible.
+3. Matches of one diagonal (one earlier document, one shift) that touch are one run, and each document is parsed
+   greedily from its first word on: where a run is under way, the one that goes on longest gives the next factor, up to
+   the run's end; where none is, a literal factor goes up to the next run. So factors tile the document.
+4. Factor boundaries are checked: a factor that begins inside its run counts with what the run holds before the
+   boundary, and is a duplicate span if that makes `min_words` or more. The words of duplicate spans go.
+
+The index keeps the first place of each block and window, so a factor is the longest one along the diagonals of first
+places; a longer match that only a later copy would give shows as two factors, with the same words removed.
 
 Fingerprints of a window have 128 bits (two independent 64-bit hashes, or phrase and block hash together).
 
@@ -111,21 +116,49 @@ def _windows(size: int):
     return run
 
 
-def _parse(lo: np.ndarray, hi: np.ndarray, ref: np.ndarray, ref_lo: np.ndarray) -> list[dict]:
-    """Greedy factors from matched spans: at each place the longest run on, along one diagonal of one document."""
-    found: list[dict] = []
-    for i in np.lexsort((-hi, lo)).tolist():
-        a, b, doc, shift = int(lo[i]), int(hi[i]), int(ref[i]), int(ref_lo[i]) - int(lo[i])
-        last = found[-1] if found else None
-        if last and a <= last["hi"] and (doc, shift) == (last["ref_doc"], last["ref_lo"] - last["lo"]):
-            last["hi"] = max(b, last["hi"])
-        elif not last or b > last["hi"]:
-            found.append({"lo": a, "hi": b, "ref_doc": doc, "ref_lo": a + shift})
+def _runs(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, ref: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Matched spans to runs, by row and lo: spans of one diagonal of one reference that overlap or touch are one."""
+    order = np.lexsort((lo, shift, ref, row))
+    row, lo, hi, ref, shift = (x[order] for x in (row, lo, hi, ref, shift))
+    other = np.ones(len(lo), bool)
+    other[1:] = (row[1:] != row[:-1]) | (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1])
+    lift = np.cumsum(other) * (int(hi.max(initial=0)) + 1)  # keeps a diagonal's ends above those of the diagonal before
+    reach = np.maximum.accumulate(hi + lift) - lift
+    new = other.copy()
+    new[1:] |= lo[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(new)) - 1 if len(first) else first
+    runs = (row[first], lo[first], reach[last], ref[first], shift[first])
+    order = np.lexsort((runs[4], runs[3], runs[1], runs[0]))
+    return tuple(x[order] for x in runs)
+
+
+def parse(n: int, runs: list[tuple[int, int, int, int]]) -> list[dict]:
+    """Greedy factors of a document of n words. runs: (lo, hi, ref, shift) by lo.
+
+    since: where the factor's run begins, at or before lo; ref_doc, ref_lo and since of literal factors are null.
+    """
+    found, at, best, i = [], 0, (0, 0, 0, 0), 0
+    while at < n:
+        while i < len(runs) and runs[i][0] <= at:
+            best = max(best, runs[i], key=lambda r: r[1])
+            i += 1
+        since, hi, ref, shift = best
+        if hi > at:
+            found.append({"lo": at, "hi": hi, "ref_doc": ref, "ref_lo": at + shift, "since": since})
+        else:
+            hi = runs[i][0] if i < len(runs) else n
+            found.append({"lo": at, "hi": hi, "ref_doc": None, "ref_lo": None, "since": None})
+        at = hi
     return found
 
 
-def _kept(with_text: bool):
-    """Batches of (doc_id, spans, text) to what is left of each text; without texts, factors are left out too."""
+_FACTORS = "array<struct<lo:int,hi:int,ref_doc:long,ref_lo:int,since:int>>"
+
+
+def _kept(min_words: int, with_text: bool):
+    """Batches of (doc_id, spans, text) to what the parse leaves of each text; without texts, factors are not listed either."""
+    factor = pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("ref_doc", pa.int64()), ("ref_lo", pa.int32()), ("since", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,20 +167,22 @@ def _kept(with_text: bool):
 
     def left(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [], [])
-        at, spans = _lists(batch.column(1), "lo", "hi", "ref", "ref_lo")
+        at, (lo, hi, ref, ref_lo) = _lists(batch.column(1), "lo", "hi", "ref", "ref_lo")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+        row, *runs = _runs(row, lo.astype(np.int64), hi.astype(np.int64), ref, ref_lo.astype(np.int64) - lo)
+        at = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+        runs = list(zip(*(x.tolist() for x in runs), strict=True))
         for i, text in enumerate(batch.column(2)):
             all_words = (text.as_py() or "").encode().split()
-            n, factors = len(all_words), []
-            if at[i] < at[i + 1]:
-                lo, hi, ref, ref_lo = (f[at[i] : at[i + 1]] for f in spans)
-                depth = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
-                gone = np.cumsum(depth)[:n] > 0
-                all_words = [x for x, g in zip(all_words, gone.tolist(), strict=True) if not g]
-                factors = _parse(lo, hi, ref, ref_lo) if with_text else []
+            n = len(all_words)
+            factors = parse(n, runs[at[i] : at[i + 1]]) if with_text or at[i] < at[i + 1] else []
+            for f in reversed(factors):
+                if f["since"] is not None and f["hi"] - f["since"] >= min_words:
+                    del all_words[f["lo"] : f["hi"]]
             kept = b" ".join(all_words)
-            for column, value in zip(out, (n, n - len(all_words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, factors), strict=True):
+            for column, value in zip(out, (n, n - len(all_words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, factors if with_text else None), strict=True):
                 column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.large_string(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("ref_doc", pa.int64()), ("ref_lo", pa.int32())])))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.large_string(), pa.list_(factor))
         arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
         arrays[3] = arrays[3].cast(pa.string())
         return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "factors"])
@@ -157,8 +192,8 @@ def _kept(with_text: bool):
 
 def duplicate_spans(documents: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, row_hash, lo, hi, ref, ref_lo): stretches of words that stand in an earlier document, maybe overlapping."""
-    docs = lean(documents).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
-    blocks = written(docs.mapInArrow(_blocks(min_words), "doc_id long, row_hash int, phrase long, block long, lo int, hi int"), "blocks")
+    docs = lean(documents).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
+    blocks = written(docs.mapInArrow(_blocks(min_words), "doc_id long, row_hash long, phrase long, block long, lo int, hi int"), "blocks")
     # Sums are written before they are joined back: a join of two plain exchanges can split a phrase that fills a task.
     seen = written(blocks.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("block") != F.max("block")).alias("several")).where("first < last").drop("last"), "seen")
     shared = written(blocks.join(seen, "phrase"), "shared")
@@ -168,17 +203,18 @@ def duplicate_spans(documents: DataFrame, min_words: int = 50) -> DataFrame:
     # Blocks met for the first time: their windows may still stand in another block of the same phrase.
     edge = placed.where("several and doc_id = at.doc_id").groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     loose = edge.join(docs, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "spans", "text")
-    windows = written(loose.mapInArrow(_windows(min_words), "doc_id long, row_hash int, one long, two long, lo int"), "windows")
+    windows = written(loose.mapInArrow(_windows(min_words), "doc_id long, row_hash long, one long, two long, lo int"), "windows")
     least = written(windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "lo")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last").drop("last"), "least")
     parts = windows.join(least, ["one", "two"]).where("doc_id > at.doc_id").select("doc_id", "row_hash", "lo", (F.col("lo") + min_words).alias("hi"), F.col("at.doc_id").alias("ref"), F.col("at.lo").alias("ref_lo"))
     return whole.unionByName(parts)
 
 
 def dedup_substrings(documents: DataFrame, min_words: int = 50, with_text: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if with_text, kept_text and factors (lo, hi, ref_doc, ref_lo)."""
-    spans = duplicate_spans(documents, min_words).groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("lo", "hi", "ref", "ref_lo")).alias("spans"))
-    docs = lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
-    return docs.join(spans, ["doc_id", "row_hash"], "left").select("doc_id", "spans", "text").mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<lo:int,hi:int,ref_doc:long,ref_lo:int>>")
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if with_text, kept_text and factors (lo, hi, ref_doc, ref_lo, since)."""
+    # Rows of one id and text find the same spans: a set holds them once.
+    spans = duplicate_spans(documents, min_words).groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("lo", "hi", "ref", "ref_lo")).alias("spans"))
+    docs = lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
+    return docs.join(spans, ["doc_id", "row_hash"], "left").select("doc_id", "spans", "text").mapInArrow(_kept(min_words, with_text), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors {_FACTORS}")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_substrings_match_brute_force(docs, rows):
     by_id = {r[0]: words(r[1]) for r in rows if r[0] != 3}
     for r in got:  # a factor's words are those of its reference
         for f in r.factors:
-            if r.doc_id not in (None, 3) and f.ref_doc != 3:
+            if f.ref_doc is not None and r.doc_id not in (None, 3) and f.ref_doc != 3:
                 assert f.ref_doc < r.doc_id and by_id[r.doc_id][f.lo : f.hi] == by_id[f.ref_doc][f.ref_lo : f.ref_lo + f.hi - f.lo]
 
 
