@@ -5,23 +5,25 @@ sources by weight; a target stops at `most` times its source's words and the exc
 weight. In closed form: with sources by most * words / weight, all before some place are full and the rest
 share what is left.
 
-Draws. A source's documents are permuted by a hash and cut into BLOCKS blocks. Its quota is a number of whole
-passes, then whole blocks from the front, then whole documents of the boundary block, then FILLS more
-documents, each the largest that fits what is still missing. What is missing then is filled in rounds until no
-document fits: a round takes the largest document if that is over half of the gap, else documents in permuted order
-as long as they fit. Either way the gap halves, so there are few rounds. Documents are never cut.
+Quotas. A source's documents are permuted by a hash and cut into BLOCKS blocks. Its quota of block draws is a number of
+whole passes over its blocks and those blocks from the front that still fit into its target.
 
-Tree. The drawn blocks of all sources are split among output shards from the root down: at every node a
-random half, by a hash of block and level, goes left. The source counts of a random half follow the
-multivariate hypergeometric law and those of both halves add up to the parent's, so each shard holds exact
-block quotas and no draw is in two shards. Within a shard documents are shuffled by a hash.
+Tree. The sources' quotas are split among output shards from the root down: at every node a random half of its draws
+goes left, so the left child's quotas follow the multivariate hypergeometric law, and both children's add up
+to the node's. A leaf draws as many blocks of a source as its quota there says; leaves take disjoint stretches of the source's
+sequence of block draws. How often a document is taken is the number of leaves' draws that its block is in. Draws are
+ranked in ranges of RANGE, so no task ranks a whole node.
 
-Only a few words a document are shuffled, never the texts, and a source of any share of the rows is spread
-over its blocks.
+Rest. What the target still lacks goes to single documents: those of the block after the last whole one in permuted order
+while they fit, then, over all documents of the source not taken there, by falling size, every one that fits. So
+no document left would fit. Documents are never cut. The last step walks sizes with their counts, not documents.
+
+Within a shard documents are shuffled by a hash. Only a few words a document are shuffled on the way, never the texts, and a
+source of any share of the rows is spread over its blocks and sizes.
 
 Cases. Null and empty texts: size 0, taken 0. Null source: a source, ordered last. Null doc_id: permuted as
-one value. Repeated rows (same id, source and size) are drawn together when their block is; in the first FILLS
-they count once each, in the rounds after them with all copies. Empty tables give no rows. Other columns are ignored.
+one value. Repeated rows (same id, source and text): drawn together with their block; of the single documents as many
+copies are taken as fit. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 from glyphmill.llm.shared import written
 
 BLOCKS = 1024
-FILLS = 3
 LEVELS = 3
+RANGE = 50_000
+_BITS = 60
 
 
 def word_count(text: Column) -> Column:
@@ -64,93 +67,137 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def _filled(placed: DataFrame) -> DataFrame:
-    """placed, with more documents taken until none that is left fits its source's gap."""
-    gaps = placed.groupBy("source").agg((F.first("rest") - F.sum(F.col("size") * F.col("taken_too"))).alias("gap")).where("gap > 0").select(F.col("source").alias("s"), "gap")
-    free = placed.where("taken_too = 0 and size > 0").join(gaps, _same("source", "s")).where("size <= gap")
-    free = free.groupBy("s", "gap", "block", "key", "doc_id", "size", "row_hash").agg(F.sum("size").alias("words")).where("words <= gap")
-    free, more = written(free, "free"), None
-    while not free.isEmpty():
-        by_block = free.groupBy("s", "gap", "block").agg(F.sum("words").alias("all"), F.max(F.struct("words", "key", "doc_id", "size", "row_hash")).alias("most"))
-        blocks = by_block.withColumn("upto", F.sum("all").over(Window.partitionBy("s").orderBy("block"))).withColumn("most", F.max("most").over(Window.partitionBy("s")))
-        blocks = blocks.withColumn("state", F.when(F.col("most.words") * 2 > F.col("gap"), 3).when(F.col("upto") <= F.col("gap"), 1).when(F.col("upto") - F.col("all") < F.col("gap"), 2).otherwise(0))
-        blocks = blocks.select(F.col("s").alias("of"), F.col("block").alias("b"), "most", "state", (F.col("upto") - F.col("all")).alias("begin"))
-        here = free.join(blocks, F.col("s").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b"))).drop("of", "b")
-        largest = F.struct("words", "key", "doc_id", "size", "row_hash").eqNullSafe(F.col("most"))
-        in_order = Window.partitionBy("s").orderBy("key", "doc_id", "size", "row_hash")
-        edge = here.where("state = 2").withColumn("pick", F.col("begin") + F.sum("words").over(in_order) <= F.col("gap"))
-        here = here.where("state <> 2").withColumn("pick", (F.col("state") == 1) | (F.col("state") == 3) & largest).unionByName(edge).drop("most", "state", "begin")
-        here = written(here, "filled")
-        picks = here.where("pick").select(F.col("s"), F.col("key").alias("k"), F.col("size").alias("z"), F.col("row_hash").alias("h"), F.col("doc_id").alias("d"))
-        more = picks if more is None else more.unionByName(picks)
-        left = here.groupBy("s").agg((F.first("gap") - F.sum(F.when(F.col("pick"), F.col("words")).otherwise(0))).alias("gap")).select(F.col("s").alias("of"), "gap")
-        free = here.where("not pick").drop("gap", "pick").join(left, F.col("s").eqNullSafe(F.col("of"))).drop("of").where("words <= gap")
-    if more is None:
-        return placed
-    mine = (F.col("key") == F.col("k")) & (F.col("size") == F.col("z")) & (F.col("row_hash") == F.col("h")) & _same("doc_id", "d") & _same("source", "s")
-    return placed.join(more, mine, "left").withColumn("taken_too", F.when(F.col("k").isNotNull(), 1).otherwise(F.col("taken_too"))).drop("s", "k", "z", "h", "d")
-
-
-def drawn(documents: DataFrame, most: float = 3.0, whole: bool = True) -> DataFrame:
-    """One row per document: doc_id, row_hash, source, size, source_size, target, passes, taken, shards (of each whole draw).
-
-    Without `whole` the fill ends after FILLS documents a source, as it does in the SQL of op7.
+def split(quotas: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(node, source, quota) of the tree's leaves. quotas: (source, quota) of its root.
+
+    All draws are put in one random order. A node owns a stretch of it and leaves the first half to its left child, so
+    each half is a random one of the node's draws, and a draw finds its way down by its place alone.
     """
-    rows = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "source", word_count(F.col("text")).alias("size"), _draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit(""))).alias("key")).withColumn("block", (F.col("key") % BLOCKS).cast("int")), "sized")
-    targets = source_targets(rows, most).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    targets = written(targets, "targets")
+    total = quotas.agg(F.sum("quota")).first()[0] or 0
+    width = (1 << _BITS) // max(1, -(-total // RANGE)) + 1
+    draws = quotas.select("source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("i"))
+    draws = draws.withColumn("at", _draw(F.coalesce("source", F.lit("")), F.col("i").cast("string"))).withColumn("range", F.floor(F.col("at") / F.lit(width)))
+    counts = {r["range"]: r["n"] for r in draws.groupBy("range").agg(F.count("*").alias("n")).collect()}  # a row per RANGE draws
+    begin, offsets = 0, []
+    for k in sorted(counts):
+        offsets.append((k, begin))
+        begin += counts[k]
+    offsets = quotas.sparkSession.createDataFrame(offsets, "r long, begin long")
+    place = F.row_number().over(Window.partitionBy("range").orderBy("at", F.col("source").asc_nulls_last(), "i")) - 1
+    rows = draws.withColumn("place", place).join(offsets, F.col("range") == F.col("r")).select("source", F.lit(0).alias("node"), (F.col("begin") + F.col("place")).alias("place"), F.lit(total).cast("long").alias("size"))
+    for _ in range(levels):
+        left = F.floor((F.col("size") + 1) / 2)
+        right = F.col("place") >= left
+        rows = rows.select("source", (F.col("node") * 2 + right.cast("int")).alias("node"), F.when(right, F.col("place") - left).otherwise(F.col("place")).alias("place"), F.when(right, F.col("size") - left).otherwise(left).alias("size"))
+    return rows.groupBy("node", "source").agg(F.count("*").alias("quota"))
+
+
+def block_draws(blocks: DataFrame) -> DataFrame:
+    """(source, block, shards): the shard of each draw of a block. blocks: (source, block, passes, front) for every block."""
+    here = Window.partitionBy("source")
+    blocks = written(blocks.select("source", "block", (F.row_number().over(here.orderBy("block")) - 1).alias("place"), F.count("*").over(here).alias("blocks"), (F.col("passes") + F.col("front")).alias("draws")), "places")
+    leaves = split(blocks.groupBy("source").agg(F.sum("draws").alias("quota")).where("quota > 0")).withColumn("end", F.sum("quota").over(here.orderBy("node")))
+    leaves = leaves.select(F.col("source").alias("s"), F.col("node").alias("shard"), F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("draw"))
+    sizes = blocks.groupBy("source").agg(F.first("blocks").alias("blocks"))
+    leaves = leaves.join(sizes, _same("s", "source")).select("s", "shard", (F.col("draw") % F.col("blocks")).alias("p")).groupBy("s", "p").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
+    return blocks.join(leaves, _same("source", "s") & (F.col("place") == F.col("p"))).select("source", "block", "shards")
+
+
+def _fitting(free: DataFrame) -> DataFrame:
+    """(source, size, take): by falling size as many documents as fit what is left of the gap. free: (source, gap, size, n)."""
+    sizes = free.groupBy("source", "gap", "size").agg(F.sum("n").alias("n")).groupBy("source", "gap").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("size"), "n"))).alias("sizes"))
+
+    def step(state: Column, entry: Column) -> Column:
+        fits = F.least(F.floor(state["gap"] / -entry["size"]), entry["n"])
+        taken = F.array(F.struct((-entry["size"]).alias("size"), fits.alias("take")))
+        return F.struct((state["gap"] + fits * entry["size"]).alias("gap"), F.when(fits > 0, F.concat(state["taken"], taken)).otherwise(state["taken"]).alias("taken"))
+
+    start = F.struct(F.col("gap").cast("double").alias("gap"), F.array().cast("array<struct<size:bigint,take:bigint>>").alias("taken"))
+    return sizes.select("source", F.explode(F.aggregate("sizes", start, step)["taken"]).alias("t")).select(F.col("source").alias("s"), F.col("t.size").alias("z"), F.col("t.take").alias("take"))
+
+
+def _filled(placed: DataFrame) -> DataFrame:
+    """placed, with `more`: how many copies of each row the source's gap takes, largest documents first."""
+    gaps = placed.groupBy("source").agg((F.first("rest") - F.sum(F.col("size") * F.when(F.col("state") == 1, F.col("copies")).otherwise(F.col("fit")))).alias("gap")).where("gap >= 1").select(F.col("source").alias("s"), "gap")
+    free = placed.where("state <> 1 and size > 0 and fit < copies").withColumn("n", F.col("copies") - F.col("fit")).join(gaps, _same("source", "s")).drop("s").where("size <= gap")
+    free = written(free.select("source", "gap", "size", "n", "key", "doc_id", "row_hash", F.shiftright("key", _BITS - 10).alias("range")), "free")
+    takes = written(_fitting(free), "takes")
+    # Of one size the documents with the largest keys go first: whole ranges of keys, then those of the range where the count ends.
+    counts = free.groupBy("source", "size", "range").agg(F.sum("n").alias("c")).join(takes, _same("source", "s") & (F.col("size") == F.col("z")))
+    counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy("source", "size").orderBy(F.desc("range"))) - F.col("c")).where("before < take")
+    counts = counts.select("s", "z", F.col("range").alias("r"), (F.col("take") - F.col("before")).alias("left"), (F.col("before") + F.col("c") <= F.col("take")).alias("whole"))
+    near = free.join(counts, _same("source", "s") & (F.col("size") == F.col("z")) & (F.col("range") == F.col("r")))
+    order = Window.partitionBy("source", "size", "range").orderBy(F.desc("key"), F.desc("doc_id"), F.desc("row_hash"))
+    edge = near.where("not whole").withColumn("more", F.greatest(F.least(F.col("left") - (F.sum("n").over(order) - F.col("n")), F.col("n")), F.lit(0)))
+    more = near.where("whole").withColumn("more", F.col("n")).unionByName(edge).where("more > 0")
+    more = more.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("row_hash").alias("h"), "more")
+    return placed.join(more, _same("source", "s") & _same("doc_id", "d") & (F.col("row_hash") == F.col("h")), "left").drop("s", "d", "h").withColumn("more", F.coalesce("more", F.lit(0)))
+
+
+def planned(documents: DataFrame, most: float = 3.0) -> DataFrame:
+    """One row per distinct (doc_id, row_hash, source): copies, size, source_size, target, key, shards (of each draw of all copies), singles (copies taken once more)."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "source", word_count(F.col("text")).alias("size"))
+    rows = rows.groupBy("doc_id", "row_hash", "source", "size").agg(F.count("*").alias("copies"))
+    rows = written(rows.withColumn("key", _draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")))).withColumn("block", (F.col("key") % BLOCKS).cast("int")), "sized")
+    targets = source_targets(rows.select("source", (F.col("size") * F.col("copies")).alias("size")), most)
+    targets = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
+    targets = written(targets.withColumnRenamed("source", "s"), "targets")
     in_order = Window.partitionBy("source").orderBy("block")
-    blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(in_order))
-    blocks = blocks.join(targets.withColumnRenamed("source", "s"), _same("source", "s")).drop("s")
-    blocks = blocks.withColumn("state", F.when(F.col("upto") <= F.col("rest"), 1).when(F.col("upto") - F.col("words") < F.col("rest"), 2).otherwise(0))
-    # The splitting tree over whole block draws.
-    draws = blocks.withColumn("draws", F.col("passes") + (F.col("state") == 1).cast("int")).where("draws > 0").select("source", "block", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("draw")).withColumn("node", F.lit(0))
-    for level in range(LEVELS):
-        here = Window.partitionBy("node")
-        place = F.row_number().over(here.orderBy(F.xxhash64(F.lit(level), "source", "block", "draw"), "source", "block", "draw"))
-        draws = draws.withColumn("node", F.col("node") * 2 + (place * 2 > F.count("*").over(here) + 1).cast("int"))
-    homes = draws.groupBy("source", "block").agg(F.array_sort(F.collect_list("node")).alias("shards"))
-    blocks = blocks.join(homes.select(F.col("source").alias("s"), F.col("block").alias("b"), "shards"), _same("source", "s") & (F.col("block") == F.col("b")), "left").drop("s", "b")
-    blocks = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "passes", "rest", "state", (F.col("upto") - F.col("words")).alias("begin"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+    blocks = rows.groupBy("source", "block").agg(F.sum(F.col("size") * F.col("copies")).alias("words")).withColumn("upto", F.sum("words").over(in_order)).join(targets, _same("source", "s")).drop("s")
+    blocks = written(blocks.withColumn("state", F.when(F.col("upto") <= F.col("rest"), 1).when(F.col("upto") - F.col("words") < F.col("rest"), 2).otherwise(0)), "blocks")
+    draws = block_draws(blocks.select("source", "block", "passes", (F.col("state") == 1).cast("int").alias("front")))
+    blocks = blocks.join(draws.withColumnsRenamed({"source": "s", "block": "b"}), _same("source", "s") & (F.col("block") == F.col("b")), "left")
+    blocks = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "rest", "state", (F.col("upto") - F.col("words")).alias("begin"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
     placed = rows.join(blocks, _same("source", "s") & (F.col("block") == F.col("b"))).drop("s", "b")
-    edge = placed.where("state = 2").withColumn("taken_too", (F.col("begin") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size", "row_hash")) <= F.col("rest")).cast("int"))
-    placed = written(placed.where("state <> 2").withColumn("taken_too", F.col("state")).unionByName(edge), "drawn")
-    for _ in range(FILLS):
-        gaps = placed.groupBy("source").agg((F.first("rest") - F.sum(F.col("size") * F.col("taken_too"))).alias("gap")).select(F.col("source").alias("s"), "gap")
-        free = placed.where("taken_too = 0 and size > 0").join(gaps, _same("source", "s")).where("size <= gap")
-        best = free.groupBy("s").agg(F.max(F.struct("size", "key", "doc_id", "row_hash")).alias("best"))
-        best = best.select("s", F.col("best.key").alias("k"), F.col("best.size").alias("z"), F.col("best.row_hash").alias("h"))
-        mine = _same("source", "s") & (F.col("key") == F.col("k")) & (F.col("size") == F.col("z")) & (F.col("row_hash") == F.col("h"))
-        # Written, since the next round reads it twice: nested, the rounds' plans would double each time.
-        placed = written(placed.join(best, mine, "left").withColumn("taken_too", F.when(F.col("k").isNotNull(), 1).otherwise(F.col("taken_too"))).drop("s", "k", "z", "h"), "filled")
-    if whole:
-        placed = _filled(placed)
-    times = F.col("passes") + F.col("taken_too")
-    return placed.select("doc_id", "row_hash", "source", "size", "source_size", F.round("target", 6).alias("target"), times.alias("times"), (times * F.col("size")).cast("long").alias("taken"), "shards", "key")
-
-
-def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is drawn, dealt by output shard and shuffled there, with the input's columns."""
-    plan = drawn(documents).where("times > 0").groupBy("doc_id", "row_hash", "source").agg(F.max("times").alias("n"), F.first("shards").alias("shards"), F.min("key").alias("key"))
-    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.hash("text").alias("r"), F.col("source").alias("s"))
-    rows = rows.join(plan, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row_hash")) & _same("s", "source"))
-    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    rows = rows.withColumn("home", F.coalesce(F.try_element_at("shards", "draw"), F.pmod("key", F.lit(1 << LEVELS)).cast("int")))
-    return rows.sortWithinPartitions("home", F.xxhash64("key", "draw")).select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
+    words = F.col("size") * F.col("copies")
+    before = F.col("begin") + F.sum(words).over(Window.partitionBy("source").orderBy("key", "doc_id", "size", "row_hash").rowsBetween(Window.unboundedPreceding, 0)) - words
+    fit = F.when(F.col("size") > 0, F.greatest(F.least(F.floor((F.col("rest") - before) / F.col("size")), F.col("copies")), F.lit(0))).otherwise(0)
+    # Documents in order while they fit: behind the first that does not, none is taken here.
+    edge = placed.where("state = 2").withColumn("fit", fit)
+    placed = written(placed.where("state <> 2").withColumn("fit", F.lit(0).cast("long")).unionByName(edge), "placed")
+    return _filled(placed).select("doc_id", "row_hash", "source", "copies", "size", "source_size", F.round("target", 6).alias("target"), "key", "shards", (F.col("fit") + F.col("more")).alias("singles"))
+
+
+def _single_home() -> Column:
+    """The shard of a document that is taken by itself."""
+    return F.expr(f"key div {BLOCKS} % {1 << LEVELS}").cast("int")
+
+
+def drawn(documents: DataFrame, most: float = 3.0) -> DataFrame:
+    """One row per document: doc_id, row_hash, source, size, source_size, target, times, taken, shards (of each draw)."""
+    rows = planned(documents, most).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    single = F.when(F.col("copy") <= F.col("singles"), F.array(_single_home())).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("shards", F.array_sort(F.concat("shards", single)))
+    return rows.select("doc_id", "row_hash", "source", "size", "source_size", "target", F.size("shards").alias("times"), (F.size("shards") * F.col("size")).cast("long").alias("taken"), "shards")
+
+
+def mixed_documents(documents: DataFrame, salts: int = 64) -> DataFrame:
+    """The mix itself: each document as often as it is drawn, dealt by output shard and shuffled there, with the input's columns.
+
+    Rows go to tasks by shard and one of `salts` parts, so no task holds a shard; a task's rows are in order of shard.
+    """
+    plan = planned(documents).where("size(shards) > 0 or singles > 0").select(F.col("doc_id").alias("d"), F.col("row_hash").alias("h"), F.col("source").alias("s"), "copies", "key", "shards", "singles")
+    plan = written(plan, "plan")
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "source")
+    same = _same("doc_id", "d") & (F.col("row_hash") == F.col("h")) & _same("source", "s")
+    every = plan.withColumn("shards", F.when(F.col("singles") == F.col("copies"), F.concat("shards", F.array(_single_home()))).otherwise(F.col("shards"))).where("size(shards) > 0")
+    dealt = rows.join(every, same).select("row", "key", "shards")
+    some = plan.where("singles > 0 and singles < copies")
+    if not some.isEmpty():  # equal rows of which only some are taken: one stands for those, at most a few a source
+        one = rows.join(some, same).groupBy("d", "h", "s", "key", "singles").agg(F.first("row").alias("row"))
+        dealt = dealt.unionByName(one.select("row", "key", F.transform(F.sequence(F.lit(1).cast("long"), F.col("singles")), lambda _: _single_home()).alias("shards")))
+    dealt = dealt.select("row", "key", F.posexplode("shards").alias("draw", "home")).withColumn("at", F.xxhash64("key", "draw"))
+    dealt = dealt.repartition("home", F.pmod("at", F.lit(salts))).sortWithinPartitions("home", "at")
+    return dealt.select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return drawn(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=False).select("doc_id", "size", "source_size", "target", "taken")
+    return drawn(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
-_FILL = "\n".join(
-    f"""g{i} AS (SELECT source, rest - sum(size * t) AS gap FROM p{i} GROUP BY source, rest),
-b{i} AS (SELECT source, max(row(size, key, doc_id)) AS best FROM p{i} JOIN g{i} USING (source, rest) WHERE t = 0 AND size > 0 AND size <= gap GROUP BY source),
-p{i + 1} AS (SELECT p.* REPLACE (CASE WHEN b.source IS NOT NULL THEN 1 ELSE p.t END AS t) FROM p{i} p LEFT JOIN b{i} b ON p.source = b.source AND row(p.size, p.key, p.doc_id) = b.best){',' if i + 1 < FILLS else ''}""".replace("USING (source, rest)", "USING (source)")
-    for i in range(FILLS)
-)
+_SPLIT = "\n".join(f"n{i + 1} AS (SELECT source, node * 2 + CASE WHEN place >= (size + 1) // 2 THEN 1 ELSE 0 END AS node, CASE WHEN place >= (size + 1) // 2 THEN place - (size + 1) // 2 ELSE place END AS place, CASE WHEN place >= (size + 1) // 2 THEN size // 2 ELSE (size + 1) // 2 END AS size FROM n{i})," for i in range(LEVELS))
 SQL = rf"""
-WITH r AS (
+WITH RECURSIVE r AS (
   SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
          CAST('0x' || substr(md5(doc_id || '|' || coalesce(source, '')), 1, 15) AS BIGINT) AS key FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM r GROUP BY source),
@@ -163,7 +210,24 @@ q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE
 d AS (
   SELECT r.*, key % {BLOCKS} AS block, source_size, target, passes, target - passes * source_size AS rest FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source
 ), o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY block, key, doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY source ORDER BY block) AS block_upto, sum(size) OVER (PARTITION BY source, block) AS words FROM d),
-p0 AS (SELECT *, CASE WHEN block_upto <= rest OR (block_upto - words < rest AND upto <= rest) THEN 1 ELSE 0 END AS t FROM o),
-{_FILL}
-SELECT doc_id, size, source_size, round(target, 6) AS target, CAST((passes + t) * size AS BIGINT) AS taken FROM p{FILLS}
+b AS (SELECT source, block, row_number() OVER (PARTITION BY source ORDER BY block) - 1 AS place, count(*) OVER (PARTITION BY source) AS blocks, CAST(any_value(passes) + max(CASE WHEN block_upto <= rest THEN 1 ELSE 0 END) AS BIGINT) AS draws FROM o GROUP BY source, block),
+n0 AS (
+  SELECT source, 0 AS node, row_number() OVER (ORDER BY '0x' || substr(md5(coalesce(source, '') || '|' || i), 1, 15), source NULLS LAST, i) - 1 AS place, count(*) OVER () AS size
+  FROM (SELECT source, unnest(range(1, quota + 1)) AS i FROM (SELECT source, CAST(sum(draws) AS BIGINT) AS quota FROM b GROUP BY source))
+),
+{_SPLIT}
+e AS (SELECT node, source, unnest(range(stop - quota, stop)) AS draw FROM (SELECT node, source, quota, CAST(sum(quota) OVER (PARTITION BY source ORDER BY node) AS BIGINT) AS stop FROM (SELECT node, source, count(*) AS quota FROM n{LEVELS} GROUP BY 1, 2))),
+h AS (SELECT b.source, b.block, list(e.node) AS shards FROM b JOIN e ON b.source IS NOT DISTINCT FROM e.source AND e.draw % b.blocks = b.place GROUP BY 1, 2),
+p AS (SELECT *, block_upto <= rest AS whole, block_upto > rest AND block_upto - words < rest AND upto <= rest AND size > 0 AS single FROM o),
+g AS (
+  SELECT source, rest - sum(CASE WHEN whole OR single THEN size ELSE 0 END) AS gap, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS size, CAST(NULL AS BIGINT) AS key FROM p GROUP BY source, rest
+  UNION ALL
+  SELECT source, gap - best.size AS gap, best.doc_id, best.size, best.key FROM (
+    SELECT g.source, g.gap, max({{'size': p.size, 'key': p.key, 'doc_id': p.doc_id}}) AS best FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source
+    WHERE NOT p.whole AND NOT p.single AND p.size > 0 AND p.size <= g.gap AND (g.size IS NULL OR (p.size, p.key, p.doc_id) < (g.size, g.key, g.doc_id)) GROUP BY g.source, g.gap)
+), k AS (
+  SELECT p.doc_id, p.size, p.source_size, p.target, list_sort(list_concat(coalesce(h.shards, []), CASE WHEN single OR g.doc_id IS NOT NULL THEN [CAST((p.key // {BLOCKS}) % {1 << LEVELS} AS INTEGER)] ELSE [] END)) AS shards
+  FROM p LEFT JOIN h ON p.source IS NOT DISTINCT FROM h.source AND p.block = h.block LEFT JOIN g ON p.source IS NOT DISTINCT FROM g.source AND p.doc_id = g.doc_id
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(len(shards) * size AS BIGINT) AS taken, array_to_string(shards, ',') AS shards FROM k
 """
