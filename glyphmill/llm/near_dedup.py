@@ -202,6 +202,17 @@ def near_groups(documents: DataFrame, size: int = 5, similarity: int = 75) -> Da
     return rooted.join(least, "root", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def first_of_groups(documents: DataFrame) -> DataFrame:
+    """The rows that near_groups keeps, with all their columns: of each group those with its least doc_id.
+
+    Rows of one id and text go or stay together; another text of the same id is judged by itself; rows with a null id stay.
+    """
+    gone = near_groups(documents).where("not kept").select("doc_id", "row_hash").distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.hash("text").alias("r"))
+    kept = rows.join(gone, (F.col("d") == F.col("doc_id")) & (F.col("r") == F.col("row_hash")), "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_hash")
 
