@@ -12,32 +12,52 @@ Models and targets are fitted on what each stage is given; labels and benchmark
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glyphmill.llm import decontamination, mixing, near_dedup, sharding, toxicity
 from glyphmill.llm.shared import forget, tables_written, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores under 0.3; the model is fitted on the labelled rows of docs, or is the prior where there are none.
+
+    Null and empty texts: the intercept's score, so they stay under any model with more clean than toxic rows. Null id: scored, held out
+    of the fit. Repeated rows, ties: each by its own text. Empty table: empty. Other columns pass through.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of one id and text are one document; rows with a null id stay as they are."""
-    gone = near_dedup.near_groups(docs).where("not kept").select("doc_id", "row_hash").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.hash("text").alias("r"))
-    return rows.join(gone, (F.col("d") == F.col("doc_id")) & (F.col("r") == F.col("row_hash")), "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    """Of each group of near copies the rows that bear its smallest doc_id.
+
+    Null and empty texts, null ids: in no group, kept. Repeated rows: of one id and text all stay or go; another text of the same
+    id is judged by itself. Empty table: empty. Other columns pass through.
+    """
+    return near_dedup.first_of_groups(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no benchmark window occurs.
+
+    Null and empty texts: no window, kept. Null id: judged by its text. Repeated rows: go or stay together. Empty tables on
+    either side: nothing goes. Other columns pass through.
+    """
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix draws it, so some not at all.
+
+    Null and empty texts: weigh nothing, stand in the mix as often as their block is drawn. Null source: a source, the last. Null id: permuted
+    as one value. Repeated rows: as many as fit, none cut. Empty table: empty. Other columns pass through.
+    """
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and its place there; sharding's columns replace columns of the same names.
+
+    Null and empty texts: size 1. Null id, repeated rows, ties: each row has a place of its own. Empty table: empty.
+    """
     return sharding.sharded_documents(docs)
 
 
