@@ -182,8 +182,8 @@ def near_groups(documents: DataFrame, size: int = 5, similarity: int = 75) -> Da
     """One row per document: doc_id, row_hash, n_shingles, component_id, kept. similarity: percent, 75 or more."""
     if similarity < 75:
         raise ValueError("the bands are laid out for similarities of 75 percent or more")
-    docs = lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
-    all_rows = written(docs.mapInArrow(_sketched(size), "doc_id long, row_hash int, n_shingles long, node long, bands array<long>"), "sketches")
+    docs = lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
+    all_rows = written(docs.mapInArrow(_sketched(size), "doc_id long, row_hash long, n_shingles long, node long, bands array<long>"), "sketches")
     rows = all_rows.where("doc_id is not null and node is not null")
     # Copies leave before bands are dealt out; buckets are written, so that their join can split one that many near copies share.
     entries = written(rows.select("node", "bands").dropDuplicates(["node"]), "nodes").select("node", F.explode("bands").alias("bucket"))
@@ -208,7 +208,7 @@ def first_of_groups(documents: DataFrame) -> DataFrame:
     Rows of one id and text go or stay together; another text of the same id is judged by itself; rows with a null id stay.
     """
     gone = near_groups(documents).where("not kept").select("doc_id", "row_hash").distinct()
-    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.hash("text").alias("r"))
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("r"))
     kept = rows.join(gone, (F.col("d") == F.col("doc_id")) & (F.col("r") == F.col("row_hash")), "left_anti")
     return kept.select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
 
