@@ -2,7 +2,7 @@
 
 Test texts are normalised (A-Z lower-cased, words are runs of 0-9, a-z and everything beyond ASCII) and cut
 into windows of `size` words; a shorter text is one window. The windows form a hash set that is broadcast
-while it has at most `most_broadcast` members; a larger set is joined by a shuffle instead, with the same rows.
+while it has at most `most_broadcast` members of `most_bytes` in all; a larger set is joined by a shuffle instead, with the same rows.
 Training tokens are scanned once: each window has an anchor, its longest word, so only tokens that are some
 window's anchor are looked at; the token window around such a token is hashed, looked up in the set, and the
 hit is verified word by word.
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.shared import written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -32,53 +34,72 @@ def normal_words(text: Column) -> Column:
 
 
 def test_windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """(gram, n, items, anchor, offset): each distinct window once, with the items that have it."""
+    """(gram, item): the items that have each window; a window of an item without an id has a null item too."""
     words = benchmark.select(F.col("item_id").cast("string").alias("item"), normal_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    grams = words.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))).alias("at")).select("item", F.expr(f"slice(w, at, {size})").alias("gram"))
-    grams = grams.groupBy("gram").agg(F.collect_set("item").alias("items"))
-    lengths = F.transform("gram", F.length)
-    return grams.select("gram", F.size("gram").alias("n"), "items", (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int").alias("offset")).withColumn("anchor", F.element_at("gram", F.col("offset") + 1))
+    grams = words.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))).alias("at"))
+    return grams.select(F.expr(f"slice(w, at, {size})").alias("gram"), "item").distinct()
+
+
+def _row() -> list[Column]:
+    """What a document row is known by: its id and text. Rows that agree in all of these are one."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.octet_length("text").alias("row_bytes")]
+
+
+_ROW = ("doc_id", "row_hash", "row_bytes")
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, size: int = 10, most_broadcast: int = 1_000_000) -> DataFrame:
-    """(doc_id, row_hash, at, n, items): each occurrence of a test window; `at` counts words from 0."""
-    grams = test_windows(benchmark, size)
-    small = grams.select("gram").limit(most_broadcast + 1).count() <= most_broadcast
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({c: f"of_{c}" for c in _ROW})
+
+
+def _same() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("row_hash") == F.col("of_row_hash")) & F.col("row_bytes").eqNullSafe(F.col("of_row_bytes"))
+
+
+def hits(documents: DataFrame, windows: DataFrame, most_broadcast: int = 1_000_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """(doc_id, row_hash, row_bytes, at, n, gram): each occurrence of a window; `at` counts words from 0. windows: (gram, ...)."""
+    lengths = F.transform("gram", F.length)
+    grams = windows.select("gram").distinct().select("gram", F.size("gram").alias("n"), (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int").alias("offset")).withColumn("anchor", F.element_at("gram", F.col("offset") + 1))
+    grams = written(grams, "windows")
+    count, volume = grams.agg(F.count("*"), F.sum(F.aggregate("gram", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 8))).first()
+    small = count <= most_broadcast and (volume or 0) <= most_bytes
     sent = F.broadcast if small else (lambda df: df)
     anchors = grams.select(F.xxhash64("anchor").alias("token"), "offset", "n").distinct()
-    keyed = grams.select(F.xxhash64("gram").alias("key"), F.col("gram").alias("test"), "items")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), normal_words(F.col("text")).alias("w"))
+    keyed = grams.select(F.xxhash64("gram").alias("key"), "gram")
+    docs = documents.select(*_row(), normal_words(F.col("text")).alias("w"))
     if small:  # one fused stage: the words of a text are at hand at each of its tokens
-        tokens = docs.select("doc_id", "row_hash", "w", F.posexplode_outer("w").alias("pos", "word"))
+        tokens = docs.select(*_ROW, "w", F.posexplode_outer("w").alias("pos", "word"))
         places = tokens.withColumn("token", F.xxhash64("word")).join(sent(anchors), "token").withColumn("at", F.col("pos") - F.col("offset"))
     else:  # tokens travel alone, and a text's places come back to it
-        tokens = docs.select("doc_id", "row_hash", F.posexplode_outer("w").alias("pos", "word"))
-        places = tokens.select("doc_id", "row_hash", "pos", F.xxhash64("word").alias("token")).join(anchors, "token").groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("at"), "n")).alias("places"))
-        places = docs.join(places.withColumnsRenamed({"doc_id": "d", "row_hash": "r"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")))
-        places = places.select("doc_id", "row_hash", "w", F.explode("places").alias("p")).select("doc_id", "row_hash", "w", "p.*")
-    seen = places.where("at >= 0 and at + n <= size(w)").select("doc_id", "row_hash", "at", "n", F.expr("slice(w, greatest(at + 1, 1), n)").alias("seen")).withColumn("key", F.xxhash64("seen"))
-    return seen.join(sent(keyed), "key").where("seen = test").select("doc_id", "row_hash", "at", "n", "items")
+        tokens = docs.select(*_ROW, F.posexplode_outer("w").alias("pos", "word"))
+        places = tokens.select(*_ROW, "pos", F.xxhash64("word").alias("token")).join(anchors, "token").groupBy(*_ROW).agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("at"), "n")).alias("places"))
+        places = docs.join(_renamed(places), _same()).select(*_ROW, "w", F.explode("places").alias("p")).select(*_ROW, "w", "p.*")
+    seen = places.where("at >= 0 and at + n <= size(w)").select(*_ROW, "at", "n", F.expr("slice(w, greatest(at + 1, 1), n)").alias("seen")).withColumn("key", F.xxhash64("seen"))
+    return seen.join(sent(keyed), "key").where("seen = gram").select(*_ROW, "at", "n", "gram")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, most_broadcast: int = 1_000_000) -> DataFrame:
-    """One row per document: doc_id, row_hash, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = hits(documents, benchmark, size, most_broadcast).groupBy("doc_id", "row_hash").agg(F.collect_set(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("runs"), F.collect_set("items").alias("items"))
-    found = found.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("r"), F.size(F.array_distinct(F.flatten("runs"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), F.size(normal_words(F.col("text"))).cast("long").alias("n_words"))
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    windows = written(test_windows(benchmark, size), "items")
+    found = written(hits(documents, windows, most_broadcast), "hits")
+    words = found.groupBy(*_ROW).agg(F.collect_set(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("runs")).select(*_ROW, F.size(F.array_distinct(F.flatten("runs"))).alias("hit"))
+    # The items of a window travel by themselves: one that stands in very many items is no part of a broadcast.
+    items = found.select(*_ROW, "gram").distinct().join(windows.where("item is not null"), "gram").groupBy(*_ROW).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = _renamed(words).join(items, _same(), "left").select(*(f"of_{c}" for c in _ROW), "hit", "items")
+    rows = documents.select(*_row(), F.size(normal_words(F.col("text"))).cast("long").alias("n_words"))
     n_hit, items = F.coalesce("hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")), "left").select("doc_id", "row_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return rows.join(found, _same(), "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The documents in which no test window occurs, with all their columns; copies of one row go or stay together."""
-    bad = hits(documents, benchmark, size).select("doc_id", "row_hash").distinct()
-    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.hash("text").alias("r"))
-    clean = rows.join(bad, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row_hash")), "left_anti")
-    return clean.select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
+    bad = _renamed(hits(documents, test_windows(benchmark, size)).select(*_ROW).distinct())
+    rows = documents.select(F.struct("*").alias("row"), *_row()).join(bad, _same(), "left_anti")
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row_hash")
+    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 SQL = r"""
