@@ -366,25 +366,6 @@ def test_compiled_rules_equal_the_model(spark):
     assert model.rules and np.allclose(1 / (1 + np.exp(-total)), [r.score for r in rows])
 
 
-def test_grammar_reads_clauses():
-    g = toxicity.Grammar({}, toxicity._PRIOR)
-
-    def sums(text):
-        import pyarrow as pa
-
-        from glyphmill.llm.tokens import NOT_LETTERS
-        from glyphmill.llm.tokens import words as tokens
-
-        return g.sums(next(tokens(pa.array([text]), gaps=NOT_LETTERS))[1])[0].tolist()
-
-    assert sums("what a stupid thing") == [1, 0, 0, 0, 0]
-    assert sums("You are an IDIOT. you") == [0, 1, 0, 0, 0]
-    assert sums("this is not stupid") == [0, 0, 1, 0, 0]
-    assert sums("it says that trash sells") == [0, 0, 0, 1, 0]
-    assert sums("we will kill you; kill. you") == [0, 0, 0, 0, 1]
-    assert sums("") == [0] * 5
-
-
 def substring_phrases(text, sample):
     """Greedy longest matches, character by character."""
     count, i = 0, 0

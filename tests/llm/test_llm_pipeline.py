@@ -1,10 +1,12 @@
 """The stages against plain Python on a small corpus."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 from glyphmill.llm import toxicity
+from grammar_by_hand import sums as by_hand
 
 
 def folded(text):
@@ -12,26 +14,20 @@ def folded(text):
 
 
 def toxic_ids(docs, labels):
-    """A slow walk: every token of every clause, with the fitted lexicon."""
+    """A slow walk: every token of every sentence, with the fitted lexicon and weights, by the grammar's definition."""
     grammar = toxicity.fit(docs, labels)
-    listed = {int(h): (int(c), float(w)) for h, c, w in zip(grammar.hashes, grammar.classes, grammar.weights, strict=True)}
+    names = {toxicity.INSULT: "insult", toxicity.THREAT: "threat", toxicity.TARGET: "target", toxicity.NEGATION: "negation", toxicity.REPORT: "report"}
+    listed = {int(h): (names[int(c)], float(w)) for h, c, w in zip(grammar.hashes, grammar.classes, grammar.weights, strict=True)}
+
+    def classify(token):
+        raw = folded(token).encode()
+        keys = [int(toxicity._fixed([token])[0]), *(int(stem_hash(raw[:k])) ^ k for k in (6, 5, 4))]
+        return next((listed[k] for k in keys if k in listed), ("other", 0.0))
+
     out = set()
     for r in docs.collect():
-        sums = [0.0] * 5
-        for clause in re.split(r"[.,;:!?\n\r]", r.text or ""):
-            kinds, weights = [], []
-            for token in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", clause):
-                keys = [toxicity._fixed([token])[0]] + [None] * len(toxicity.STEMS)
-                raw = folded(token).encode()
-                for i, k in enumerate(toxicity.STEMS, 1):
-                    keys[i] = int(stem_hash(raw[:k])) ^ k
-                found = next((listed[int(k)] for k in (keys[0], keys[3], keys[2], keys[1]) if int(k) in listed), (0, 0.0))
-                kinds.append(found[0])
-                weights.append(found[1])
-            grammar.clause(kinds, weights, sums)
-        import numpy as np
-
-        if grammar.scores(np.array([sums]))[0] >= 0.3:
+        total = grammar.beta[-1] + sum(b * math.log1p(s) for b, s in zip(grammar.beta, by_hand(r.text, classify), strict=False))
+        if 1 / (1 + math.exp(-total)) >= 0.3:
             out.add(r.doc_id)
     return out
 
