@@ -2,10 +2,13 @@
 
 Base spans are the leftmost non-overlapping matches of three patterns; they always stay. Further candidates are
 tokens of LEAST or more characters that mix letters and digits and have a sensitive word within NEAR
-characters before them. A candidate's novelty is what it adds to the compressed size when zstandard is primed with
-a dictionary of identifiers and the text around it; incompressible candidates are reported as kind `novel`: those
-with a novelty of SHARE of their bytes or more, or of LIKE_RANDOM of what random characters from the candidate's own
-alphabet add in its place, since zstandard codes long random tokens of few letters in fewer bytes. Base spans get a novelty too.
+characters before them, or as their beginning. A candidate's novelty is its marginal size: what zstandard needs for the text around it
+with the candidate, less what it needs without. The compressor is primed with a dictionary trained on identifiers that are made by
+rule out of WORDS, so it knows their words and what their letters and digits cost; case is folded. Since a marginal size
+also hangs on what stands around, it is compared with what random letters and digits add in the same place:
+ordinary identifiers come to 0.4 to 0.85 of that, random keys to 0.9 and more. Candidates of LIKE_RANDOM, or
+LIKE_DIGITS where a third of the characters are digits (hexadecimal keys have few letters), are reported as kind
+`novel`. Base spans get a novelty too.
 
 Whole texts are searched; cheap searches for bytes that any match must hold skip the rest.
 
@@ -18,7 +21,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +41,24 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Words that make the characters after them sensitive.
 _SENSITIVE = re.compile(r"passw(?:or)?d|secret|token|api.?key|access.?key|private.?key|credential|authorization|bearer", re.IGNORECASE | re.ASCII)
-LEAST, NEAR, AROUND, SHARE, LIKE_RANDOM = 16, 48, 512, 0.7, 0.9
+LEAST, NEAR, AROUND, LIKE_RANDOM, LIKE_DIGITS = 16, 48, 512, 0.89, 0.8
+DRAWS, LITTLE = 4, 256
 _TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-_IDENTIFIERS = b" ".join([b"username password passwd secret token api_key apikey access_key private_key client_id client_secret authorization bearer credential config default environment localhost example version number identifier", b"true false null none return import function class static public private const string integer boolean value index length buffer request response session account service http https www com org net json xml html utf base64 sha256 md5"])
+#: What ordinary identifiers are made of.
+WORDS = """
+user name password secret token api key access private public client server host port path file folder config setting default value index
+count total size limit offset length width height buffer cache queue stack list map set table column row field record entry item node edge
+graph tree leaf root parent child first last next previous start stop begin end open close read write load store save send receive request
+response reply header body message event handler listener callback action state status code error warning info debug trace log level time
+date year month day hour minute second zone locale language country city street address number phone email account customer order product
+price amount payment invoice report summary page section chapter part title text label caption image video audio media format type kind class
+object method function module package library version release build test check verify validate parse encode decode encrypt decrypt hash sign
+random unique global local static final constant variable parameter argument option flag mode enable disable create update delete insert
+select filter sort group join merge split copy move rename reset login logout session cookie browser window button form input output result
+query search find match replace print display show hide view model control service worker thread process task job batch stream pipe socket
+network internet website domain link url http https www com org net json xml html css script style theme color black white red green blue
+dark light main home about help guide manual how your with from into for and the new old
+""".split()
 _HEXES = np.zeros(256, bool)
 _HEXES[[ord(c) for c in "0123456789abcdef"]] = True
 
@@ -58,39 +79,90 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def novelty(text: str, start: int, end: int, token: str | None = None) -> int:
-    """Bytes that text[start:end], or token in its place, adds to its primed surroundings when compressed."""
-    around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
-    primer = zstandard.ZstdCompressionDict(_IDENTIFIERS + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    pack = zstandard.ZstdCompressor(level=3, dict_data=primer, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return max(0, len(pack.compress((text[start:end] if token is None else token).encode("utf-8", "replace"))) - len(pack.compress(b"")))
+def identifier(rng: random.Random, words: list[str]) -> str:
+    """Two to five words, some with a number, joined in one of the usual ways."""
+    chosen = [rng.choice(words) for _ in range(rng.randrange(2, 6))]
+    if rng.random() < 0.4:
+        for _ in range(rng.randrange(1, 3)):
+            chosen[rng.randrange(len(chosen))] += str(rng.choice([rng.randrange(1, 100), rng.randrange(1990, 2031), rng.randrange(1, 10)]))
+    titled = [w.title() for w in chosen]
+    return rng.choice(["_".join(chosen), "-".join(chosen), chosen[0] + "".join(titled[1:]), "".join(titled), "_".join(chosen).upper(), "".join(chosen)])
 
 
-def random_novelty(text: str, start: int, end: int) -> int:
-    """Bytes that as many random characters from the alphabet of text[start:end] would add there; the same on every call."""
-    alphabet = sorted(set(text[start:end]))
-    return novelty(text, start, end, "".join(random.Random(end - start).choices(alphabet, k=end - start)))
+@cache
+def _packer() -> zstandard.ZstdCompressor:
+    """A compressor with the trained dictionary, its tables of symbol costs included; the same in every process."""
+    rng = random.Random(1)
+    samples = [" ".join(identifier(rng, WORDS) for _ in range(12)).encode() for _ in range(4000)]
+    known = zstandard.train_dictionary(16384, samples, level=3)
+    return zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+
+@cache
+def _lead() -> str:
+    """Identifiers that stand before surroundings of under LITTLE characters, of which the compressor could not tell much."""
+    rng = random.Random(3)
+    return " ".join(identifier(rng, WORDS) for _ in range(60))[:600]
+
+
+def _added(text: str, start: int, end: int, tokens: list[str]) -> list[int]:
+    """Bytes that each token adds in the place of text[start:end]."""
+    own = text[start:end]  # what it says once more nearby makes it no less a secret
+    before, after = text[max(0, start - AROUND) : start].replace(own, ""), text[end : end + AROUND].replace(own, "")
+    if len(before) + len(after) < LITTLE:
+        before = _lead() + before
+    size = lambda token: len(_packer().compress((before + token + after).lower().encode("utf-8", "replace")))
+    least = size("")
+    return [max(0, size(token) - least) for token in tokens]
+
+
+def novelty(text: str, start: int, end: int) -> int:
+    """Bytes that text[start:end] adds to its surroundings when both are compressed."""
+    return _added(text, start, end, [text[start:end]])[0]
+
+
+def like_random(text: str, start: int, end: int) -> tuple[int, float]:
+    """The novelty of text[start:end], and its share of what random letters and digits add there (the mean of DRAWS, the same on every call)."""
+    n = end - start
+    draws = ["".join(random.Random(n * DRAWS + i).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)) for i in range(DRAWS)]
+    own, *others = _added(text, start, end, [text[start:end], *draws])
+    return own, own * DRAWS / max(1, sum(others))
+
+
+def is_novel(token: str, share: float) -> bool:
+    digits = sum(map(str.isdigit, token))
+    return share >= (LIKE_DIGITS if 3 * digits >= len(token) else LIKE_RANDOM)
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of tokens in sensitive context, one a run of token characters, in order."""
+    ends = [m.end() for m in _SENSITIVE.finditer(text)]
+    for run in _TOKEN.finditer(text) if ends else ():
+        start, end = run.span()
+        inside = bisect_left(ends, end) - 1
+        if inside >= 0 and ends[inside] > start:  # the run begins with a sensitive word of its own
+            start = end - len(text[ends[inside] : end].lstrip("+/_=-"))
+        elif inside < 0 or start - ends[inside] > NEAR:
+            continue
+        token = text[start:end]
+        if end - start >= LEAST and re.search("[0-9]", token) and re.search("[A-Za-z]", token):
+            yield start, end
 
 
 def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, kind, end, novelty) of further candidates that do not compress."""
+    """(start, kind, end, novelty) of further candidates that do not compress and overlap no known span; known: by start."""
     out = []
     lower = text.encode("utf-8", "surrogatepass").lower()
     if not any(k in lower for k in (b"passw", b"secret", b"token", b"key", b"credential", b"authorization", b"bearer")):
         return out
-    for near in _SENSITIVE.finditer(text):
-        for m in _TOKEN.finditer(text, near.end(), min(len(text), near.end() + NEAR + 256)):
-            if m.start() > near.end() + NEAR:
-                break
-            end = m.end()
-            while end < len(text) and re.match(r"[A-Za-z0-9+/_=-]", text[end]):
-                end += 1
-            token = text[m.start() : end]
-            if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)) or any(a < end and m.start() < b for a, _, b in known) or any(s[0] == m.start() for s in out):
-                continue
-            new = novelty(text, m.start(), end)
-            if new >= SHARE * len(token) or new >= LIKE_RANDOM * random_novelty(text, m.start(), end):
-                out.append((m.start(), 3, end, new))
+    starts, reach = [s for s, _, _ in known], list(accumulate((e for *_, e in known), max))
+    for start, end in candidates(text):
+        upto = bisect_left(starts, end)
+        if upto and reach[upto - 1] > start:
+            continue
+        new, share = like_random(text, start, end)
+        if is_novel(text[start:end], share):
+            out.append((start, 3, end, new))
     return out
 
 
@@ -119,4 +191,4 @@ def found_secrets(documents: DataFrame) -> DataFrame:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return found_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("novelties")
+    return found_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))

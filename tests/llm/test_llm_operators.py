@@ -292,24 +292,6 @@ def test_base_spans_match_plain_regex(spark):
     assert got[7].spans == "novel:15:35" and got[8].spans == ""
 
 
-def test_novelty_tells_random_from_known():
-    text = "client_secret configuration default environment localhost " * 3
-    random = "token q7Zk2Lm9Xw4Pv8Rt1Bc6 end"
-    assert secrets.novelty(text, 0, 27) < 0.6 * 27
-    assert secrets.novelty(random, 6, 26) >= secrets.SHARE * 20
-
-
-@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"])
-def test_long_random_keys_are_novel(alphabet):
-    for size in (20, 64, 96, 128, 256, 512):
-        for seed in range(20):
-            token = "".join(np.random.default_rng(seed).choice(list(alphabet), size))
-            text = f"Authorization: Bearer {token} and more"
-            assert [s[:3] for s in secrets.novel_spans(text, [])] == [(22, 3, 22 + size)]
-    for known in ("configuration_version_1_" * 8, "client_secret_default_environment_localhost_number_2_" * 4, "0A" * 60):
-        assert secrets.novel_spans(f"private key {known} end", []) == []
-
-
 def labelled(spark, n=900):
     rng = np.random.default_rng(2)
     out, marks = [], []
