@@ -63,7 +63,7 @@ def order_points(quad: Column) -> Column:
 
     def turned(q: Column) -> Column:
         def around(c: Column) -> Column:
-            by_angle = F.transform(F.array_sort(F.transform(q, lambda p, i: F.struct(F.atan2(p["y"] - c["y"], p["x"] - c["x"]).alias("a"), i.alias("i"), p.alias("p")))), lambda s: s["p"])
+            by_angle = F.transform(F.sort_array(F.transform(q, lambda p, i: F.struct(F.atan2(p["y"] - c["y"], p["x"] - c["x"]).alias("a"), i.alias("i"), p.alias("p")))), lambda s: s["p"])
 
             def rotate(r: Column) -> Column:
                 sums = F.transform(r, lambda p: p["x"] + p["y"])
@@ -115,28 +115,59 @@ def is_croppable(quad: Column) -> Column:
     return bound(worth_a_crop, crop_size(quad))
 
 
+def _whole(x: Column) -> Column:
+    """To the nearest integer, halves away from 0."""
+    return F.signum(x) * F.floor(F.abs(x) + 0.5)
+
+
 def unclip(quad: Column, ratio: float = 1.5) -> Column:
-    """An ordered rectangle grown on all sides by area * ratio / perimeter; null if the area is under 1.
+    """The least rectangle around an ordered quad, its corners cut to whole pixels, grown on all sides by area * ratio / perimeter; null if the area is under 1.
 
-    Growing a rectangle by a disc keeps its axes, so the least rectangle around the result has the same axes and 2 d
-    more on each side: no polygon offset is needed.
+    Area and perimeter are those of the quad as it is. The least rectangle around what a disc grows has a side along one of the
+    quad's, and is 2 d wider and higher than the quad is along that side and across: no polygon offset is needed. Where
+    it is upright its sides are on whole pixels (halves away from 0), as the corners of a polygon offset in integers are.
+    Leaning ones keep fractions. Of equal rectangles the one along the first side is taken.
     """
 
     def grown(q: Column) -> Column:
         p = [q[i] for i in range(4)]
-        w, h = distance(p[0], p[1]), distance(p[0], p[3])
 
-        def out(w: Column, h: Column) -> Column:
-            d = w * h * ratio / (2 * (w + h))
-            across, down = _minus(p[1], p[0]), _minus(p[3], p[0])
-            corners = [(p[0], -1, -1), (p[1], 1, -1), (p[2], 1, 1), (p[3], -1, 1)]
-            return F.when(w * h >= 1, F.array(*(point(c["x"] + across["x"] / w * d * a + down["x"] / h * d * b, c["y"] + across["y"] / w * d * a + down["y"] / h * d * b) for c, a, b in corners)))
+        def out(t: Column, size: Column, d: Column) -> Column:
+            def along(side: Column) -> Column:
+                """Rectangle along a side: extents on both axes from the unit vector, grown area."""
+
+                def extents(u: Column) -> Column:
+                    a, b = F.transform(t, lambda c: c["x"] * u["x"] + c["y"] * u["y"]), F.transform(t, lambda c: c["y"] * u["x"] - c["x"] * u["y"])
+                    return bound(rectangle, u, a, b)
+
+                def rectangle(u: Column, a: Column, b: Column) -> Column:
+                    spread = lambda v: F.struct((F.array_min(v) - d).alias("lo"), (F.array_max(v) + d).alias("hi"))
+                    return bound(lambda a, b: F.struct(((a["hi"] - a["lo"]) * (b["hi"] - b["lo"])).alias("area"), side["i"].alias("i"), u.alias("u"), a.alias("a"), b.alias("b")), spread(a), spread(b))
+
+                return bound(lambda n: F.when(n > 0, bound(extents, point(side["x"] / n, side["y"] / n))), _length(side))
 
-        return bound(out, w, h)
+            def corners(r: Column) -> Column:
+                u, a, b = r["u"], r["a"], r["b"]
+                upright = (u["x"] == 0) | (u["y"] == 0)
+                snapped = lambda q: F.transform(q, lambda c: F.when(upright, point(_whole(c["x"]), _whole(c["y"]))).otherwise(c))
+                at = lambda i, j: point(a[i] * u["x"] - b[j] * u["y"], a[i] * u["y"] + b[j] * u["x"])
+                return snapped(F.array(at("lo", "lo"), at("hi", "lo"), at("hi", "hi"), at("lo", "hi")))
+
+            sides = F.array(*(F.struct(F.lit(i).alias("i"), (t[(i + 1) % 4]["x"] - t[i]["x"]).alias("x"), (t[(i + 1) % 4]["y"] - t[i]["y"]).alias("y")) for i in range(4)))
+            return F.when(size >= 1, bound(lambda r: F.when(r.isNotNull(), corners(r)), F.array_min(F.array_compact(F.transform(sides, along)))))
+
+        around = sum((distance(p[i], p[(i + 1) % 4]) for i in range(4)), F.lit(0.0))
+        whole = F.transform(q, lambda c: point(F.signum(c["x"]) * F.floor(F.abs(c["x"])), F.signum(c["y"]) * F.floor(F.abs(c["y"]))))
+        return bound(lambda t, size, around: bound(lambda d: out(t, size, d), size * ratio / around), whole, area(q), around)
 
     return bound(grown, quad)
 
 
+def is_large_enough(quad: Column) -> Column:
+    """Whether both sides of a rectangle are MIN_SIDE or more."""
+    return bound(lambda q: F.least(distance(q[0], q[1]), distance(q[1], q[2])) >= MIN_SIDE, quad)
+
+
 def resize_shape(height: Column, width: Column, limit: int = 640, kind: str = "max") -> Column:
     """struct(h, w, ratio_h, ratio_w): sides for detection, whole multiples of 32."""
     ratio = F.least(limit / F.greatest(height, width), F.lit(1.0)) if kind == "max" else F.greatest(limit / F.least(height, width), F.lit(1.0))
@@ -147,13 +178,13 @@ def resize_shape(height: Column, width: Column, limit: int = 640, kind: str = "m
 def reading_order(quads: Column) -> Column:
     """Quads by y, then x, of their first corner; ties by place."""
     keyed = F.transform(quads, lambda q, i: F.struct(q[0]["y"].alias("y"), q[0]["x"].alias("x"), i.alias("i"), q.alias("q")))
-    return F.transform(F.array_sort(keyed), lambda s: s["q"])
+    return F.transform(F.sort_array(keyed), lambda s: s["q"])
 
 
 def top_down(quads: Column, most: int = 3) -> Column:
     """The first quads by least y; ties by place."""
     keyed = F.transform(quads, lambda q, i: F.struct(min_y(q).alias("y"), i.alias("i"), q.alias("q")))
-    return F.slice(F.transform(F.array_sort(keyed), lambda s: s["q"]), 1, most)
+    return F.slice(F.transform(F.sort_array(keyed), lambda s: s["q"]), 1, most)
 
 
 def largest(quads: Column) -> Column:

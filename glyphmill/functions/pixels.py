@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 #: Channel means and deviations of the usual training images.
@@ -67,20 +69,78 @@ def _labelled(mask: np.ndarray, diagonal: bool) -> np.ndarray:
     return out
 
 
-def outlines(mask: np.ndarray) -> list[np.ndarray]:
-    """Border points (x, y) of each component and around each hole."""
+@dataclass
+class Outline:
+    """Of a component or a hole: border points (x, y), the pixels from (x0, y0) on that it encloses, border included, and how many corners its border has."""
+
+    points: np.ndarray
+    x0: int
+    y0: int
+    fill: np.ndarray
+    corners: int
+
+
+#: Steps (dy, dx) to the eight neighbours, clockwise from the right.
+_AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
+
+
+def border_corners(own: np.ndarray) -> int:
+    """Points at which the outer border of a component changes direction as one walks it; 1 for a single pixel. own: with a margin of one."""
+    start = tuple(np.argwhere(own)[0].tolist())  # its left neighbour and those above are free
+    at, came, steps, first = start, 4, [], None
+    while True:
+        for k in range(1, 9):
+            d = (came + k) % 8
+            if own[at[0] + _AROUND[d][0], at[1] + _AROUND[d][1]]:
+                break
+        else:
+            return 1
+        if at == start and d == first:
+            break
+        first = d if first is None else first
+        steps.append(d)
+        at = (at[0] + _AROUND[d][0], at[1] + _AROUND[d][1])
+        came = (d + 4) % 8
+    return max(1, sum(a != b for a, b in zip(steps, steps[1:] + steps[:1], strict=True)))
+
+
+def _spots(label: np.ndarray) -> dict[int, tuple[slice, slice]]:
+    """Bounding box of each label but 0."""
+    y, x = np.nonzero(label)
+    k = label[y, x]
+    order = np.argsort(k, kind="stable")
+    y, x, k = y[order], x[order], k[order]
+    first = np.flatnonzero(np.diff(k, prepend=0))
+    bounds = [f.reduceat(v, first).tolist() if len(first) else [] for f, v in ((np.minimum, y), (np.maximum, y), (np.minimum, x), (np.maximum, x))]
+    return {int(n): (slice(y0, y1 + 1), slice(x0, x1 + 1)) for n, y0, y1, x0, x1 in zip(k[first], *bounds, strict=True)}
+
+
+def _wider(spot: tuple[slice, slice]) -> tuple[slice, slice]:
+    return tuple(slice(s.start - 1, s.stop + 1) for s in spot)
+
+
+def outlines(mask: np.ndarray) -> list[Outline]:
+    """One of each component, nested ones too, and one around each hole. Work per component is that of its bounding box."""
     found = []
-    padded = np.pad(mask.astype(bool), 1)
+    padded = np.pad(mask.astype(bool), 2)  # a margin of one for boxes that are one wider all around
     fore, back = _labelled(padded, True), _labelled(~padded, False)
-    outside = back[0, 0]
-    for k in np.unique(fore[fore > 0]):
-        own = fore == k
-        edge = own & _touching(back == outside)
-        if edge.any():
-            found.append(np.argwhere(edge)[:, ::-1] - 1)
-    for k in np.unique(back[back > 0]):
-        if k != outside:
-            found.append(np.argwhere(padded & _touching(back == k))[:, ::-1] - 1)
+    for k, spot in _spots(fore).items():
+        spot = _wider(spot)
+        own = fore[spot] == k
+        free = _labelled(~own, False)
+        outside = free == free[0, 0]
+        y0, x0 = spot[0].start - 2, spot[1].start - 2
+        found.append(Outline(np.argwhere(own & _touching(outside))[:, ::-1] + [x0, y0], x0 + 1, y0 + 1, ~outside[1:-1, 1:-1], border_corners(own)))
+    outer = back[0, 0]
+    for k, spot in _spots(back).items():
+        if k != outer:
+            spot = _wider(spot)
+            hole = back[spot] == k
+            border = padded[spot] & _touching(hole)
+            y0, x0 = spot[0].start - 2, spot[1].start - 2
+            free = _labelled(~np.pad(border, 1), False)  # a border also encloses what stands within its hole
+            # What goes around a hole has four corners at least.
+            found.append(Outline(np.argwhere(border)[:, ::-1] + [x0, y0], x0, y0, (free != free[0, 0])[1:-1, 1:-1], 4))
     return found
 
 
@@ -125,36 +185,20 @@ def least_rectangle(points: np.ndarray) -> np.ndarray:
     return np.array([s * u[best] + t * v[best] for s, t in ((lo, bottom), (hi, bottom), (hi, top), (lo, top))])
 
 
-def inside(quad: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mask of the pixels whose centres a convex quad holds, border included."""
-    y, x = np.mgrid[:height, :width]
-    signs = []
-    for p, q in zip(quad, np.roll(quad, -1, axis=0), strict=True):
-        signs.append((q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]))
-    s = np.array(signs)
-    return (s >= -1e-9).all(0) | (s <= 1e-9).all(0)
-
-
-def box_score(probabilities: np.ndarray, quad: np.ndarray) -> float:
-    """Mean probability within a quad."""
-    h, w = probabilities.shape
-    x0, y0 = np.clip(np.floor(quad.min(0)).astype(int), 0, [w - 1, h - 1])
-    x1, y1 = np.clip(np.ceil(quad.max(0)).astype(int), 0, [w - 1, h - 1])
-    mask = inside(quad - [x0, y0], y1 - y0 + 1, x1 - x0 + 1)
-    return float((probabilities[y0 : y1 + 1, x0 : x1 + 1] * mask).sum() / (mask.sum() + 1e-6))
-
-
-def boxes(probabilities: np.ndarray, threshold: float = 0.3, box_threshold: float = 0.6, most: int | None = None, min_side: float = 3.0) -> list[np.ndarray]:
-    """Rectangles around what is over the threshold, with a mean of box_threshold or more and sides of min_side or more; of the first `most` outlines, if given."""
-    out = []
-    for points in outlines(probabilities > threshold)[:most]:
-        if len(points) < 4:
-            continue
-        quad = least_rectangle(points)
-        sides = np.hypot(*(quad - np.roll(quad, -1, axis=0)).T)
-        if min(sides[:2]) >= min_side and box_score(probabilities, quad) >= box_threshold:
-            out.append(quad)
-    return out
+def outline_score(probabilities: np.ndarray, outline: Outline) -> float:
+    """Mean probability of the pixels an outline encloses."""
+    h, w = outline.fill.shape
+    part = probabilities[outline.y0 : outline.y0 + h, outline.x0 : outline.x0 + w]
+    return float((part * outline.fill).sum() / (outline.fill.sum() + 1e-6))
+
+
+def boxes(probabilities: np.ndarray, threshold: float = 0.3, box_threshold: float = 0.6) -> list[np.ndarray]:
+    """Least rectangles around all outlines over the threshold that have four corners or more and a mean of box_threshold or more.
+
+    Rectangles are small here: sides are tested once they have been grown.
+    """
+    found = (o for o in outlines(probabilities > threshold) if o.corners >= 4)
+    return [least_rectangle(o.points) for o in found if outline_score(probabilities, o) >= box_threshold]
 
 
 def crop(image: np.ndarray, quad: np.ndarray, width: int, height: int) -> np.ndarray:

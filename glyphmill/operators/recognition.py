@@ -137,8 +137,8 @@ def label_regions(detected: DataFrame, unclip_ratio: float = 2.0) -> DataFrame:
     """Adds boxes: grown, brought to image pixels, clipped, in reading order, cut to the label's four and to those worth a crop."""
     from glyphmill.functions import boxes as B
 
-    grown = F.filter(F.transform("quads", lambda q: B.unclip(B.order_points(q), unclip_ratio)), lambda q: q.isNotNull())
-    placed = F.transform(grown, lambda q: B.clip(B.rescale(q, F.col("ratio_w"), F.col("ratio_h")), F.col("width"), F.col("height")))
+    grown = F.filter(F.transform("quads", lambda q: B.unclip(B.order_points(q), unclip_ratio)), lambda q: q.isNotNull() & B.is_large_enough(q))
+    placed = F.transform(grown, lambda q: B.clip(B.rescale(B.order_points(q), F.col("ratio_w"), F.col("ratio_h")), F.col("width"), F.col("height")))
     rows = detected.select("*", F.explode(F.array(B.reading_order(placed))).alias("placed"))
     rows = rows.select("*", F.explode(F.array(B.label_boxes(F.col("placed"), F.col("width"), F.col("height")))).alias("label"))
     kept = F.filter(F.transform("label", lambda b: F.struct(B.order_points(b["box"]).alias("box"), b["source"].alias("source"))), lambda b: B.is_croppable(b["box"]))

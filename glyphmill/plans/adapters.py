@@ -89,10 +89,11 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "lineitem")
-    turn = "l_partkey % 4"
-    corners = ", ".join(f"named_struct('x', cast({_CORNERS['x'][i]} as double), 'y', cast({_CORNERS['y'][i]} as double))" for i in range(4))
+    corners = [f"named_struct('x', cast({_CORNERS['x'][i]} as double), 'y', cast({_CORNERS['y'][i]} as double))" for i in range(4)]
+    # One whole array for each turn, of which a row builds the one it needs.
+    turned = " ".join(f"when {k} then array({', '.join(corners[(i + k) % 4] for i in range(4))})" for k in range(4))
     ordered = Window.partitionBy("l_orderkey").orderBy(*_ORDER)
-    return rows.select(F.col("l_orderkey").alias("image"), F.row_number().over(ordered).cast("long").alias("idx"), F.expr(f"transform(array(0, 1, 2, 3), i -> array({corners})[cast((i + {turn}) % 4 as int)])").alias("quad"))
+    return rows.select(F.col("l_orderkey").alias("image"), F.row_number().over(ordered).cast("long").alias("idx"), F.expr(f"case l_partkey % 4 {turned} end").alias("quad"))
 
 
 def image_quads(spark: SparkSession, sf_dir: str) -> DataFrame:

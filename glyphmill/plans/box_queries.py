@@ -70,8 +70,9 @@ def label_structure(spark, d):
 
 
 def unclip_expand(spark, d):
-    rows = once(A.quads(spark, d), "u", B.unclip(B.order_points(F.col("quad"))))
-    return _corners(rows.where("u is not null"), "u", "image", "idx")
+    rows = once(A.quads(spark, d), "u", B.unclip(B.order_points(F.col("quad")))).where("u is not null")
+    rows = once(rows.withColumn("large", B.is_large_enough(F.col("u"))), "o", B.order_points(F.col("u")))
+    return _corners(rows, "o", "image", "idx", "large")
 
 
 def rescale_clip(spark, d):
@@ -153,8 +154,18 @@ gp AS (SELECT a.image, CASE WHEN least(b.o[1].y, b.o[2].y) - greatest(a.o[4].y,
 lc AS (SELECT image, least(max(c), 3) AS l FROM lw GROUP BY image),
 im AS (SELECT DISTINCT image FROM k)
 SELECT image, CAST(coalesce(u, 0) + coalesce(l, 0) + coalesce(made, 0) AS BIGINT) AS boxes, CAST(coalesce(made, 0) AS BIGINT) AS created FROM im LEFT JOIN up USING (image) LEFT JOIN lc USING (image) LEFT JOIN gp USING (image) WHERE coalesce(u, 0) + coalesce(l, 0) > 0"""
-_GROWN = f"""{_ORD}, g0 AS (SELECT image, idx, o, {_dist('o[1]', 'o[2]')} AS w, {_dist('o[1]', 'o[4]')} AS h FROM oq), g1 AS (SELECT *, w * h * 1.5 / (2 * (w + h)) AS d FROM g0 WHERE w * h >= 1)
-SELECT image, idx, """ + ", ".join(f"round(o[{i + 1}].{c} {'+' if i in (1, 2) else '-'} (o[2].{c} - o[1].{c}) / w * d {'+' if i in (2, 3) else '-'} (o[4].{c} - o[1].{c}) / h * d, 4) AS {c}{i}" for i in range(4) for c in "xy") + " FROM g1"
+_GROWN = f"""{_ORD}, g0 AS (
+  SELECT image, idx, ({_AREA.replace('quad', 'o')}) AS size, {' + '.join(_dist(f'o[{i + 1}]', f'o[{(i + 1) % 4 + 1}]') for i in range(4))} AS around, list_transform(o, lambda p: {{'x': trunc(p.x), 'y': trunc(p.y)}}) AS t FROM oq
+), g1 AS (SELECT image, idx, t, size * 1.5 / around AS d, unnest([1, 2, 3, 4]) AS i FROM g0 WHERE size >= 1),
+g2 AS (SELECT *, t[i % 4 + 1].x - t[i].x AS sx, t[i % 4 + 1].y - t[i].y AS sy FROM g1),
+g3 AS (SELECT image, idx, t, d, i, sx / sqrt(sx * sx + sy * sy) AS ux, sy / sqrt(sx * sx + sy * sy) AS uy FROM g2 WHERE sx <> 0 OR sy <> 0),
+g4 AS (SELECT *, list_transform(t, lambda p: p.x * ux + p.y * uy) AS a, list_transform(t, lambda p: p.y * ux - p.x * uy) AS b FROM g3),
+g5 AS (SELECT image, idx, ux, uy, list_min(a) - d AS a0, list_max(a) + d AS a1, list_min(b) - d AS b0, list_max(b) + d AS b1 FROM g4
+  QUALIFY row_number() OVER (PARTITION BY image, idx ORDER BY (list_max(a) - list_min(a) + 2 * d) * (list_max(b) - list_min(b) + 2 * d), i) = 1),
+g6 AS (SELECT image, idx, ux = 0 OR uy = 0 AS upright, [{{'x': a0 * ux - b0 * uy, 'y': a0 * uy + b0 * ux}}, {{'x': a1 * ux - b0 * uy, 'y': a1 * uy + b0 * ux}}, {{'x': a1 * ux - b1 * uy, 'y': a1 * uy + b1 * ux}}, {{'x': a0 * ux - b1 * uy, 'y': a0 * uy + b1 * ux}}] AS c FROM g5),
+qd2 AS (SELECT image, idx, CASE WHEN upright THEN list_transform(c, lambda p: {{'x': round(p.x), 'y': round(p.y)}}) ELSE c END AS quad FROM g6),
+{A.ORDERED.replace('sr', 'sr2').replace('ft', 'ft2').replace('oq', 'oq2').replace('FROM qd', 'FROM qd2')}
+SELECT image, idx, least({_dist('quad[1]', 'quad[2]')}, {_dist('quad[2]', 'quad[3]')}) >= 3 AS large, {_corners_sql('o')} FROM oq2 JOIN qd2 USING (image, idx)"""
 _CROP = f"SELECT image, idx, CAST(floor(greatest({_dist('o[1]', 'o[2]')}, {_dist('o[3]', 'o[4]')})) AS INTEGER) AS w, CAST(floor(greatest({_dist('o[1]', 'o[4]')}, {_dist('o[2]', 'o[3]')})) AS INTEGER) AS h FROM oq"
 _STEPS = "st AS (SELECT vec_id, list_transform(range(0, 8), lambda i: embedding[i * 8 + 1 : i * 8 + 8]) AS steps FROM embeddings)"
 

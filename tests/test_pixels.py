@@ -22,7 +22,36 @@ def test_outlines_have_holes():
     mask[4:7, 4:8] = False
     mask[10, 12] = True
     found = P.outlines(mask)
-    assert len(found) == 3 and sorted(map(len, found)) == [1, 14, 28]
+    assert len(found) == 3 and sorted(len(o.points) for o in found) == [1, 14, 28]
+    assert sorted((int(o.fill.sum()), o.corners) for o in found) == [(1, 1), (26, 4), (63, 4)]
+
+
+def test_nested_components_have_outlines():
+    mask = np.zeros((20, 20), bool)
+    mask[1:19, 1:19] = True
+    mask[3:17, 3:17] = False
+    mask[6:12, 6:13] = True
+    assert sorted(int(o.fill.sum()) for o in P.outlines(mask)) == [42, 14 * 14 + 56, 18 * 18]
+
+
+def drawn(*rows):
+    return np.array([[c == "#" for c in r] for r in rows])
+
+
+def test_corners_of_borders():
+    """Points that a border keeps when straight runs are shortened to their ends."""
+    shapes = {
+        1: drawn("#"),
+        2: drawn("####"),
+        3: drawn("#.", "##"),
+        4: drawn("##", "##"),
+        8: drawn(".##.", "####", "####", ".##."),
+    }
+    for corners, shape in shapes.items():
+        assert [o.corners for o in P.outlines(shape)] == [corners]
+    assert [o.corners for o in P.outlines(drawn("#..", ".#.", "..#"))] == [2]
+    assert [o.corners for o in P.outlines(drawn("#...", "##..", "###.", "####"))] == [3]
+    assert [o.corners for o in P.outlines(drawn(".#.", "###", ".#."))] == [4]
 
 
 def test_least_rectangle_of_a_turned_box():
@@ -38,9 +67,58 @@ def test_boxes_and_scores():
     p[5:15, 10:40] = 0.9
     p[20:22, 1:3] = 0.9
     p[25:35, 10:40] = 0.4
+    p[37, 10:50] = 0.9  # a line has two corners
     found = P.boxes(p)
-    assert len(found) == 1 and np.allclose(sorted(map(tuple, found[0])), [(10, 5), (10, 14), (39, 5), (39, 14)])
-    assert abs(P.box_score(p, found[0]) - 0.9) < 1e-4
+    assert sorted(tuple(map(tuple, sorted(map(tuple, q)))) for q in found) == [((1, 20), (1, 21), (2, 20), (2, 21)), ((10, 5), (10, 14), (39, 5), (39, 14))]
+
+
+def test_scores_are_of_the_outline():
+    """A frame's rectangle is mostly empty, and so is what its outline encloses; a slanted bar's rectangle is not its outline."""
+    p = np.zeros((60, 60))
+    for i in range(40):
+        p[10 + i, 5 + i : 9 + i] = 0.8
+    (bar,) = P.outlines(p > 0.3)
+    assert abs(P.outline_score(p, bar) - 0.8) < 1e-6
+    frame = np.zeros((30, 30))
+    frame[5:25, 5:25] = 0.9
+    frame[8:22, 8:22] = 0.0
+    outer, hole = P.outlines(frame > 0.3)
+    assert abs(P.outline_score(frame, outer) - 0.9 * (400 - 196) / 400) < 1e-6
+    assert abs(P.outline_score(frame, hole) - 0.9 * 56 / (196 + 56)) < 1e-6 and len(P.boxes(frame, 0.3, 0.3)) == 1
+
+
+def grown(spark, quad, ratio):
+    from glyphmill.functions import boxes as B
+
+    q = F.array(*(B.point(F.lit(float(x)), F.lit(float(y))) for x, y in quad))
+    u = B.unclip(B.order_points(q), ratio)
+    r = spark.range(1).select(B.order_points(u).alias("u"), B.is_large_enough(u).alias("large")).first()
+    return (None if r.u is None else [(c.x, c.y) for c in r.u]), r.large
+
+
+def test_growing_by_hand(spark):
+    # A bar of two pixel rows: area 59, perimeter 120, so 0.98 on each side; offsets are whole, so it comes to three rows.
+    assert grown(spark, [(10, 5), (69, 5), (69, 6), (10, 6)], 2.0) == ([(9, 4), (70, 4), (70, 7), (9, 7)], True)
+    # Corners lose their fractions before growing, area and perimeter do not: 20.8 * 10.4 * 1.5 / 62.4 = 5.2.
+    quad, large = grown(spark, [(10.6, 5.3), (31.4, 5.3), (31.4, 15.7), (10.6, 15.7)], 1.5)
+    assert quad == [(5, 0), (36, 0), (36, 20), (5, 20)] and large
+    # Under an area of 1 nothing is grown.
+    assert grown(spark, [(1, 1), (1.9, 1), (1.9, 2), (1, 2)], 1.5)[0] is None
+    # Beyond the image's edge: -0.5 goes to -1.
+    assert grown(spark, [(0, 0), (2, 0), (2, 2), (0, 2)], 1.0)[0] == [(-1, -1), (3, -1), (3, 3), (-1, 3)]
+    # A turned square of side 20 (corners 28.28 apart): 5 more on each side and still turned.
+    quad, _ = grown(spark, [(20, 0), (40, 20), (20, 40), (0, 20)], 1.0)
+    sides = np.hypot(*(np.array(quad) - np.roll(np.array(quad), -1, axis=0)).T)
+    assert np.allclose(sides, 800**0.5 + 2 * 800 / (4 * 800**0.5)) and np.allclose(np.mean(quad, axis=0), 20)
+
+
+def test_thin_texts_survive(spark):
+    page = np.zeros((192, 224), np.uint8)
+    page[40:42, 32:192] = 255  # two rows high: under three before it is grown, over three after
+    page[90, 10:13] = 255
+    rows = [("thin.png", bytearray([192, 224]) + bytearray(page.tobytes()))]
+    found = R.detect(spark.createDataFrame(rows, "path string, content binary"), Toy).first()
+    assert len(found.quads) == 1
 
 
 def test_crop_is_upright():
