@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +32,13 @@ def detection_tensor(image: np.ndarray, height: int, width: int, flip_channels:
     return ((p - MEAN) / STD).transpose(2, 0, 1)[None].astype(np.float32)
 
 
-def recognition_tensor(crops: list[np.ndarray], height: int = 48, most: int = 320) -> np.ndarray:
-    """(n, 3, height, w): crops scaled to one height, padded with 0 to the widest ratio, at most `most` wide."""
-    width = min(most, int(height * max(c.shape[1] / c.shape[0] for c in crops)))
+def recognition_tensor(crops: list[np.ndarray], height: int = 48, most: int | None = 320, unit: int | None = None) -> np.ndarray:
+    """(n, 3, height, w): crops scaled to one height, padded with 0 to the widest ratio, at most `most` wide.
+
+    unit: pixels of width for a ratio of 1, the height unless given. Models for live frames take a unit of 32 and no limit.
+    """
+    width = int((unit or height) * max(c.shape[1] / c.shape[0] for c in crops))
+    width = min(most, width) if most else width
     width = max(1, width)
     out = np.zeros((len(crops), 3, height, width), np.float32)
     for row, c in zip(out, crops, strict=True):
@@ -221,6 +227,62 @@ def crop(image: np.ndarray, quad: np.ndarray, width: int, height: int) -> np.nda
     return out.reshape(height, width, -1)
 
 
+def upright(image: np.ndarray, quad: list[tuple[float, float]]) -> np.ndarray:
+    """The crop of an ordered quad, as high and wide as its longer sides in whole pixels."""
+    q = np.array(quad, float)
+    w, h = (int(max(np.hypot(*(q[a] - q[b])), np.hypot(*(q[c] - q[d])))) for a, b, c, d in ((0, 1, 2, 3), (0, 3, 1, 2)))
+    return crop(image, q, w, h) if w and h else np.zeros((0, 0, image.shape[2]))
+
+
+def png(image: np.ndarray) -> bytes:
+    """A BGR or grey image as a PNG file."""
+    p = np.clip(np.rint(image), 0, 255).astype(np.uint8).reshape(*image.shape[:2], -1)[:, :, ::-1]
+    h, w, c = p.shape
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), p.reshape(h, w * c)], axis=1)  # each line starts with its filter, none
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2}[c], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def draw_polygon(image: np.ndarray, points: list, colour: tuple[int, int, int], width: int = 2) -> None:
+    """The closed polygon's sides on the image itself; fewer than four points draw nothing."""
+    if len(points) < 4:
+        return
+    h, w = image.shape[:2]
+    for (x0, y0), (x1, y1) in zip(points, [*points[1:], points[0]], strict=True):
+        steps = int(max(abs(x1 - x0), abs(y1 - y0))) + 1
+        x, y = (np.rint(np.linspace(a, b, steps + 1)).astype(int) for a, b in ((x0, x1), (y0, y1)))
+        for dy in range(width):
+            for dx in range(width):
+                ok = (0 <= x + dx) & (x + dx < w) & (0 <= y + dy) & (y + dy < h)
+                image[y[ok] + dy, x[ok] + dx] = colour
+
+
+#: Capital letters, digits and some marks in dots, five wide and seven high, a hexadecimal row of dots each.
+_DOTS = {
+    "A": "0E11111F111111", "B": "1E11111E11111E", "C": "0E11101010110E", "D": "1E11111111111E", "E": "1F10101E10101F", "F": "1F10101E101010", "G": "0E11101713110E", "H": "1111111F111111", "I": "0E04040404040E",
+    "J": "0702020202120C", "K": "11121418141211", "L": "1010101010101F", "M": "111B1515111111", "N": "11191513111111", "O": "0E11111111110E", "P": "1E11111E101010", "Q": "0E11111115120D", "R": "1E11111E141211",
+    "S": "0F10100E01011E", "T": "1F040404040404", "U": "1111111111110E", "V": "11111111110A04", "W": "11111115151B11", "X": "11110A040A1111", "Y": "11110A04040404", "Z": "1F01020408101F", "0": "0E11131519110E",
+    "1": "040C040404040E", "2": "0E11010204081F", "3": "1F02040201110E", "4": "02060A121F0202", "5": "1F101E0101110E", "6": "0608101E11110E", "7": "1F010204080808", "8": "0E11110E11110E", "9": "0E11110F01020C",
+    "-": "0000001F000000", ".": "00000000000C0C", "/": "00010204081000", "(": "02040808080402", ")": "08040202020408", ":": "000C0C000C0C00", " ": "00000000000000",
+}
+
+
+def write_text(image: np.ndarray, text: str, x: int, y: int, colour: tuple[int, int, int], scale: int = 1) -> None:
+    """Text on the image itself, its lower left corner at (x, y); small letters as capitals, characters without dots as a frame."""
+    h, w = image.shape[:2]
+    for i, c in enumerate(text.upper()):
+        rows = bytes.fromhex(_DOTS.get(c, "1F11111111111F"))
+        dots = np.array([[r >> (4 - k) & 1 for k in range(5)] for r in rows], bool).repeat(scale, 0).repeat(scale, 1)
+        dy, dx = np.nonzero(dots)
+        at_y, at_x = y - 7 * scale + dy, x + 6 * scale * i + dx
+        ok = (0 <= at_y) & (at_y < h) & (0 <= at_x) & (at_x < w)
+        image[at_y[ok], at_x[ok]] = colour
+
+
 def white_page(width: int = 640, height: int = 480) -> np.ndarray:
     return np.full((height, width, 3), 255, np.uint8)
 
@@ -231,3 +293,11 @@ def gradient_page(width: int = 640, height: int = 480) -> np.ndarray:
     for k in range(3):
         page[height * (k + 1) // 5 : height * (k + 1) // 5 + height // 12, width // 10 : width // 2] = (255, 80 * k, 0)
     return page
+
+
+def text_page(number: int = 1, width: int = 640, height: int = 480) -> np.ndarray:
+    """A white page with three lines of text, for warm-ups of a model that reads."""
+    page = white_page(width, height)
+    for text, x, y, shade, scale in ((f"WARMUP-{number}", 150, 180, 0, 7), ("TEST-12345", 130, 280, 50, 6), ("ABCDEFGH", 160, 370, 80, 5)):
+        write_text(page, text, x * width // 640, y * height // 480, (shade,) * 3, max(1, scale * width // 640))
+    return page

@@ -67,7 +67,60 @@ def bar_chart(stats: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def text_table(report: DataFrame, widths: tuple[int, ...] = (30, 15, 15, 15)) -> DataFrame:
-    """(row_no, line): the first column to the left, the others to the right."""
+    """(row_no, line): the first column to the left, the others to the right; cells that are too long are not cut."""
     columns = [c for c in report.columns if c != "row_no"]
-    cells = [F.rpad(columns[0], widths[0], " ")] + [F.lpad(c, w, " ") for c, w in zip(columns[1:], widths[1:], strict=False)]
+    padded = lambda pad, c, w: F.when(F.char_length(F.col(c)) < w, pad(F.col(c), w, " ")).otherwise(F.col(c))
+    cells = [padded(F.rpad, columns[0], widths[0])] + [padded(F.lpad, c, w) for c, w in zip(columns[1:], widths[1:], strict=False)]
     return report.select("row_no", F.concat(*cells).alias("line"))
+
+
+#: Heads of the two panels of the accuracy chart.
+_PANELS = ("Accuracy by Field", "Overall Accuracy Metrics")
+
+
+def accuracy_chart(field_stats: DataFrame, overall: DataFrame, first: str, second: str) -> DataFrame:
+    """(panel, place, metric, pipeline, value, shown, axis_max): the bars of both accuracy panels, percentages as shares."""
+    names = F.col("pipeline").isin(first, second)
+    places = F.create_map(*(F.lit(x) for kv in {f: i for i, f in enumerate(FIELDS)}.items() for x in kv))
+    fields = field_stats.where(names).select(F.lit(_PANELS[0]).alias("panel"), places[F.col("field")].alias("place"), F.col("field").alias("metric"), "pipeline", F.coalesce("avg_score", F.lit(0.0)).alias("value"), F.format_string("%.2f", F.coalesce("avg_score", F.lit(0.0))).alias("shown"))
+    bars = [("Avg Score", F.col("avg_score"), "%.2f", 1.0), ("All Exact (%)", F.col("all_exact_pct"), "%.1f%%", 100.0), ("All Acceptable (%)", F.col("all_acceptable_pct"), "%.1f%%", 100.0)]
+    rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(name).alias("metric"), (F.coalesce(v, F.lit(0.0)) / scale).alias("value"), F.format_string(pattern, F.coalesce(v, F.lit(0.0))).alias("shown")) for i, (name, v, pattern, scale) in enumerate(bars)))
+    whole = overall.where(names).select(F.lit(_PANELS[1]).alias("panel"), "pipeline", F.inline(rows)).select("panel", "place", "metric", "pipeline", "value", "shown")
+    return fields.unionByName(whole).withColumn("axis_max", F.lit(1.2))
+
+
+def run_summary(details: DataFrame, metric: str = "total_ms") -> DataFrame:
+    """(row_no, line): what one run says of itself at its end; spread is that of a population. No lines for no images."""
+    x = F.col(metric)
+    sums = details.where(x.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("avg"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("std")).where("n > 0")
+    bar = F.lit("=" * 60)
+    ms = lambda head, c: F.concat(F.lit(f"  {head:<24}"), F.format_string("%.2f ms", F.col(c)))
+    lines = [bar, F.lit("BENCHMARK SUMMARY"), bar, F.concat(F.lit(f"  {'Total images processed:':<24}"), F.col("n").cast("string")), ms("Average time:", "avg"), ms("Minimum time:", "min"), ms("Maximum time:", "max"), ms("Std deviation:", "std"), F.concat(F.lit(f"  {'Throughput:':<24}"), F.when(F.col("avg") > 0, F.format_string("%.2f images/sec", 1000 / F.col("avg"))).otherwise("-")), bar]
+    return sums.select(F.posexplode(F.array(*lines)).alias("row_no", "line"))
+
+
+def accuracy_summary(field_stats: DataFrame, overall: DataFrame, first: str, second: str) -> DataFrame:
+    """(row_no, line): the accuracy of two runs for a console, block by block, and who is ahead by how much."""
+    values = accuracy_values(field_stats, overall, first, second)
+    cell = lambda c, w: F.when(F.char_length(c) < w, F.lpad(c, w, " ")).otherwise(c)
+    line = lambda head, *cells: F.concat(F.rpad(F.lit(head) if isinstance(head, str) else head, 35, " "), *(F.concat(F.lit(" "), cell(c, 12)) for c in cells))
+    thick, thin = F.lit("=" * 75), F.lit("-" * 75)
+    metric, block = F.col("metric"), F.col("field")
+    whole = block == "overall"
+    # The overall block starts with its score.
+    order = F.when(whole, F.create_map(*(F.lit(x) for x in ("avg_score", 0, "exact_pct", 1, "acceptable_pct", 2)))[metric]).otherwise((F.col("row_no") - 1) % 3)
+    head = F.when(metric == "avg_score", "  - Average Score").when(whole & (metric == "exact_pct"), "  - All Fields Exact").when(whole, "  - All Fields Acceptable").when(metric == "exact_pct", "  - Exact Match (%)").otherwise("  - Acceptable (>=0.90)")
+    shown = lambda c: F.when(metric == "avg_score", F.format_string("%.3f", F.col(c))).otherwise(F.format_string("%.1f%%", F.col(c)))
+    blocks = F.floor((F.col("row_no") - 1) / 3)
+    body = values.select((blocks * 10 + order + 10).alias("row_no"), line(head, shown("first"), shown("second"), F.col("winner")).alias("line"))
+    names = F.create_map(*(F.lit(x) for kv in (_HEADS | {"overall": "OVERALL"}).items() for x in kv))
+    heads = values.where("metric = 'exact_pct'").select((blocks * 10 + 9).alias("row_no"), F.concat(names[block], F.lit(":")).alias("line"))
+    ends = values.where("metric = 'exact_pct'").select((blocks * 10 + 15).alias("row_no"), F.when(whole, thick).otherwise(thin).alias("line"))
+    side = lambda name: F.coalesce(F.max(F.when(F.col("pipeline") == name, F.col("num_images"))), F.lit(0)).cast("string")
+    top = overall.agg(side(first).alias("a"), side(second).alias("b")).select(F.posexplode(F.array(thick, F.lit(" ACCURACY COMPARISON SUMMARY ".center(75, "=")), thick, line("Metric", F.lit(first), F.lit(second), F.lit("Winner")), thin, line("Images Evaluated", F.col("a"), F.col("b"), F.lit("-")), thick)).alias("row_no", "line"))
+    ahead = F.concat(F.lit(">>> "), F.col("winner"), F.lit(" has "), F.format_string("%.1f%%", F.abs(F.col("delta")) * 100), F.lit(" higher accuracy than "), F.when(F.col("winner") == first, second).otherwise(first), F.lit(" <<<"))
+    last = values.where(whole & (metric == "avg_score")).select((blocks * 10 + 16).alias("row_no"), F.when(F.col("winner") == "Tie", ">>> Both pipelines have equal accuracy <<<").otherwise(ahead).alias("line"))
+    out = top
+    for part in (heads, body, ends, last):
+        out = out.unionByName(part.withColumn("row_no", F.col("row_no").cast("int")))
+    return out

@@ -93,21 +93,30 @@ class Settings:
     warmup: WarmUp
     root: str
 
+    @classmethod
+    def defaults(cls) -> Settings:
+        return cls(Models(), ModelNames(), Detection(), Recognition(), Runtime(), Modules(), Output(), Debug(), WarmUp(), "")
+
 
 #: Other spellings of keys: the prefixes of one backend's sections, and single keys.
 _PREFIX = {Detection: "textDet", Recognition: "textRec"}
 _ALSO = {"numThreads": "cpuThreads"}
 
 
-def load(path: str, runtime_section: str = "runtime") -> Settings:
-    """Settings of a file, with defaults for what it lacks. runtime_section: the name of the section on the model runtime."""
+def raw(path: str) -> dict:
+    """All that a file says, unknown keys too, for a backend that passes settings on as they are."""
     file = Path(path).resolve()
     if not file.exists():
         raise FileNotFoundError(path)
-    raw = json.loads(file.read_text(encoding="utf-8"))
+    return json.loads(file.read_text(encoding="utf-8"))
+
+
+def load(path: str, runtime_section: str = "runtime") -> Settings:
+    """Settings of a file, with defaults for what it lacks. runtime_section: the name of the section on the model runtime."""
+    file, given_all = Path(path).resolve(), raw(path)
 
     def of(kind, section: str):
-        given = raw.get(section, {})
+        given = given_all.get(section, {})
         found = {}
         for f in fields(kind):
             spellings = [f.name, _ALSO.get(f.name, f.name), _PREFIX.get(kind, "") + f.name[0].upper() + f.name[1:]]

@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as T
 from glyphmill.operators.latency import tagged
 
-_TIMES = ("detection_ms", "recognition_ms", "total_ms")
-_HEAD = "filename string, image_width int, image_height int, num_regions int"
-DETAILS_SPLIT = f"{_HEAD}, detection_ms string, recognition_ms string, total_ms string, results string"
-DETAILS_TOTAL = f"{_HEAD}, total_ms string, results string"
-REGIONS = "array<struct<bbox:array<array<double>>,text:string,score:double,source:string>>"
-RESULT = f"source_image string, text_regions {REGIONS}, total_regions int, _corrupt_record string"
+#: The columns of a details table; a run that does not time its parts lacks two of them.
+_DETAILS = {"filename": "string", "image_width": "int", "image_height": "int", "num_regions": "int", "detection_ms": "string", "recognition_ms": "string", "total_ms": "string", "results": "string"}
+_REGION = "struct<bbox:array<array<double>>,text:string,score:double,source:string>"
+REGIONS = f"array<{_REGION}>"
+RESULT = "source_image string, text_regions array<string>, total_regions int, _corrupt_record string"
 EXPECTED = "color string, productCode string, size string, positionQuantity string, _corrupt_record string"
 #: The image suffixes that are read.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".webp")
+#: The same as a glob, in either case.
+_IMAGE_NAMES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in IMAGE_SUFFIXES) + "}"
 
 
-def details(spark: SparkSession, path: str, pipeline: str, split: bool = True) -> DataFrame:
-    """A run's details CSV with its pipeline's name; times that are no numbers are null. split: with detection and recognition times."""
-    rows = spark.read.schema(DETAILS_SPLIT if split else DETAILS_TOTAL).csv(path, header=True, escape='"', multiLine=True)
-    return tagged(rows, pipeline)
+def details(spark: SparkSession, path: str, pipeline: str, multi_line: bool = True) -> DataFrame:
+    """A run's details CSV with its pipeline's name, columns found by their heads in whatever order; values that are no numbers are null.
+
+    Known columns that the file lacks and columns that are not known are left out. Files of one run must have the same head; else
+    reading them fails. multi_line: texts may hold line ends; without it many tasks read a large file.
+    """
+    rows = spark.read.csv(path, header=True, escape='"', multiLine=multi_line, enforceSchema=False)
+    known = [F.col(f"`{c}`").try_cast(kind).alias(c) for c, kind in _DETAILS.items() if c in rows.columns]
+    return tagged(rows.select(*known), pipeline)
 
 
 def _documents(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
@@ -37,9 +43,10 @@ def expected_values(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
-    """Recognition results by file `<stem>_result.json`; invalid files drop out, a missing source is `detected`."""
+    """Recognition results by file `<stem>_result.json`; invalid files and regions that are no records drop out, a missing source is `detected`."""
     rows = _documents(spark, path, RESULT, "*_result.json")
-    regions = F.transform("text_regions", lambda r: F.struct(r["bbox"].alias("bbox"), F.coalesce(r["text"], F.lit("")).alias("text"), F.coalesce(r["score"], F.lit(0.0)).alias("score"), F.coalesce(r["source"], F.lit("detected")).alias("source")))
+    records = F.transform(F.filter("text_regions", lambda r: r.startswith("{")), lambda r: F.from_json(r, _REGION))
+    regions = F.transform(records, lambda r: F.struct(r["bbox"].alias("bbox"), F.coalesce(r["text"], F.lit("")).alias("text"), F.coalesce(r["score"], F.lit(0.0)).alias("score"), F.coalesce(r["source"], F.lit("detected")).alias("source")))
     return rows.withColumn("text_regions", F.coalesce(regions, F.array().cast(REGIONS)))
 
 
@@ -48,11 +55,22 @@ def is_image(path: Column) -> Column:
 
 
 def images(spark: SparkSession, folder: str, with_content: bool = True) -> DataFrame:
-    """path, length, content of the images of a folder, not of its subfolders. Without content no file is opened."""
-    rows = spark.read.format("binaryFile").load(folder).where(is_image(F.col("path")))
+    """path, length, content of the images of a folder, not of its subfolders. Other files are not opened; without content none is."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", _IMAGE_NAMES).load(folder).where(is_image(F.col("path")))
     return rows.select("path", "length", *(["content"] if with_content else []))
 
 
+def decoded_images(spark: SparkSession, folder: str) -> DataFrame:
+    """path, content of the images of a folder, decoded by the JVM's codecs and packed for operators.recognition.PackedPixels.
+
+    JPEG, PNG, BMP and GIF, and TIFF where the JVM has it. An image that cannot be decoded has no content; a missing folder is an error.
+    """
+    rows = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", _IMAGE_NAMES).load(folder)
+    sides = [F.lpad(F.hex(F.col(f"image.{c}")), 8, "0") for c in ("height", "width", "nChannels")]
+    packed = F.concat(F.unhex(F.concat(*sides)), F.col("image.data"))
+    return rows.select(F.col("image.origin").alias("path"), F.when(F.col("image.height") > 0, packed).alias("content"))
+
+
 def alphabet(spark: SparkSession, path: str) -> Column:
     """The class alphabet as an array literal: blank, then the file's stripped lines in order."""
     rows = spark.read.text(path, wholetext=True)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glyphmill.workers import ship
@@ -53,3 +54,20 @@ def to_memory(stream: DataFrame, name: str, checkpoint: str):
     query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def serve(stream: DataFrame, show: Callable[[DataFrame, int], None], checkpoint: str, until: Callable[[], bool], every: float = 0.5, pace: str | None = None) -> StreamingQuery:
+    """Run a live stream: each trigger's rows go to `show`; it stops when `until` says so, when it is interrupted, or when it ends by itself.
+
+    pace: time between triggers, as soon as possible unless given. Errors of the stream are raised.
+    """
+    writer = stream.writeStream.foreachBatch(show).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(processingTime=pace) if pace else writer).start()
+    try:
+        while not until() and not query.awaitTermination(every):
+            pass
+    except KeyboardInterrupt:
+        pass
+    finally:
+        query.stop()
+    return query

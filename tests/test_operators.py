@@ -98,7 +98,7 @@ def test_details_round_trip(spark, tmp_path):
     r = readers.details(spark, f"{tmp_path}/d", "first").first()
     assert r.results == 'say "x", y (0.9500)' and r.pipeline == "first" and r.detection_ms == 1.0
     (tmp_path / "bad.csv").write_text("filename,image_width,image_height,num_regions,total_ms,results\nx,1,1,0,oops,\ny,1,1,0,NaN,\n")
-    assert [r.total_ms for r in readers.details(spark, f"{tmp_path}/bad.csv", "p", split=False).collect()] == [None, None]
+    assert [r.total_ms for r in readers.details(spark, f"{tmp_path}/bad.csv", "p").collect()] == [None, None]
 
 
 def test_documents(spark, tmp_path):
