@@ -120,7 +120,7 @@ def test_images_and_alphabet(spark, tmp_path):
         (tmp_path / name).write_bytes(b"8 4\none\ntwo" if name != "c.webp" else b"\xff")
     listed = readers.images(spark, str(tmp_path), with_content=False)
     assert listed.count() == 2 and "content" not in listed.columns
-    out = R.recognise(readers.images(spark, str(tmp_path)), R.EchoBackend, "echo", [b"1 1\nx"]).orderBy("path").collect()
+    out = R.recognise(readers.images(spark, str(tmp_path)), R.EchoBackend, [b"1 1\nx"]).orderBy("path").collect()
     assert [len(r.text_regions) for r in out] == [2, 0] and out[0].error is None and "UnicodeDecodeError" in out[1].error
     assert R.to_details(R.recognise(readers.images(spark, str(tmp_path)), R.EchoBackend), "echo").count() == 1
     (tmp_path / "dict.txt").write_text("a\n b\nç\n", encoding="utf-8")
