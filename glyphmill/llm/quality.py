@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.learning import held_out, labelled_sample
+from glyphmill.llm.learning import give_back, held_out, labelled_sample
 from glyphmill.llm.shared import lean
 from glyphmill.llm.tokens import Words, words
 
@@ -185,6 +185,8 @@ def fit(documents: DataFrame, labels: DataFrame, penalty: float = 2e-3) -> Ensem
     rules = tree_rules(x, y, weights)
     a = np.column_stack([holds(r, x) for r in rules]).astype(float)
     w, b = lasso(a, y, weights, penalty)
+    del texts, x, a
+    give_back()
     return Ensemble([(r, float(v)) for r, v in zip(rules, w, strict=True) if abs(v) > 1e-6], b)
 
 

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.learning import held_out, labelled_sample, logistic
+from glyphmill.llm.learning import give_back, held_out, labelled_sample, logistic
 from glyphmill.llm.shared import lean
 from glyphmill.llm.tokens import NOT_LETTERS, Words, mix, words
 
@@ -272,7 +272,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> Grammar:
     sums = [grammar.sums(w) for _, w in words(flat(pa.array(rest, pa.string())), most=1 << 18, gaps=NOT_LETTERS)]
     x = np.log1p(np.concatenate(sums)) if sums else np.zeros((0, len(SUMS)))
     beta = logistic(x, y[~half], weights[~half], _PRIOR, strength=3.0)
-    return Grammar(learned_words(texts, y, scale), beta)
+    grammar = Grammar(learned_words(texts, y, scale), beta)
+    del texts, rest, x, sums
+    give_back()
+    return grammar
 
 
 def scored(documents: DataFrame, grammar: Grammar) -> DataFrame:
