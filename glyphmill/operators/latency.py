@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.operators.ordering import numbered, sliding
+from glyphmill.operators.ordering import ROWS_PER_RANGE, hot_apart, numbered, sliding
 
 
 def number(text: Column) -> Column:
@@ -86,18 +86,27 @@ def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key), key, "left_anti")
 
 
-def rolling_mean(samples: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), value: str = "seconds", size: int = 200, by: str | None = None) -> DataFrame:
-    """Mean of each row and the size - 1 before it, in ms, and the frame rate it means."""
+def rolling_mean(samples: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), value: str = "seconds", size: int = 200, by: str | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Mean of each row and the size - 1 before it, in ms, and the frame rate it means. Groups of over rows_per_range rows are cut into ranges."""
     mean = lambda window: F.avg(value).over(window) * 1000
     if by:
-        rows = samples.withColumn("mean_ms", mean(Window.partitionBy(by).orderBy(*order).rowsBetween(-(size - 1), 0)))
+        usual, hot = hot_apart(samples, by, rows_per_range)
+        rows = usual.withColumn("mean_ms", mean(Window.partitionBy(by).orderBy(*order).rowsBetween(-(size - 1), 0)))
+        if hot is not None:
+            rows = rows.unionByName(sliding(hot, order, size, mean, "mean_ms", rows_per_range, by))
     else:
-        rows = sliding(samples, order, size, mean, "mean_ms")
+        rows = sliding(samples, order, size, mean, "mean_ms", rows_per_range)
     return rows.withColumn("fps", F.when(F.col("mean_ms") > 0, 1000 / F.col("mean_ms")))
 
 
-def batched(rows: DataFrame, order: tuple[str, ...], by: str, size: int = 6) -> DataFrame:
-    """Batch number by rank within each group, and the greatest ratio of each batch."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    numbered = rows.withColumn("batch", F.floor((rank - 1) / size).cast("int"))
-    return numbered.withColumn("max_ratio", F.max("ratio").over(Window.partitionBy(by, "batch")))
+def batched(rows: DataFrame, order: tuple[str, ...], by: str, size: int = 6, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Batch number by rank within each group, and the greatest ratio of each batch. Groups of over rows_per_range rows are ranked in ranges."""
+    usual, hot = hot_apart(rows, by, rows_per_range)
+    ranked = usual.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    if hot is not None:
+        placed, _ = numbered(hot, (by, *order), "rank", rows_per_range)
+        begin = placed.groupBy(F.col(by).alias("__of")).agg(F.min("rank").alias("__begin"))  # a row a hot group
+        placed = placed.join(F.broadcast(begin), F.col(by).eqNullSafe(F.col("__of"))).withColumn("rank", (F.col("rank") - F.col("__begin")).cast("int"))
+        ranked = ranked.unionByName(placed.drop("__of", "__begin"))
+    done = ranked.withColumn("batch", F.floor(F.col("rank") / size).cast("int")).drop("rank")
+    return done.withColumn("max_ratio", F.max("ratio").over(Window.partitionBy(by, "batch")))

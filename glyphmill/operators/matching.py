@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
 
-#: Candidate lists of up to so many rows are broadcast; longer ones are scored by a shuffled theta join.
-MOST_BROADCAST = 10_000
+#: Candidate lists of up to so many rows and characters are broadcast; longer ones are dealt into blocks of BLOCK, and each text goes to every block.
+MOST_BROADCAST, MOST_CHARS, BLOCK = 10_000, 8_000_000, 2_000
 
 
 def best_in(text: Column, candidates: Column, min_score: float = 0.0) -> Column:
@@ -27,12 +27,19 @@ def best_in(text: Column, candidates: Column, min_score: float = 0.0) -> Column:
 def best_match(texts: DataFrame, candidates: DataFrame, text: str, candidate: str, order: str, min_score: float = 0.0) -> DataFrame:
     """(text, match, score) of each distinct text against all candidates, ordered by `order`.
 
-    Each distinct pair is scored once, and a partial aggregate keeps the best per text, so pairs are never shuffled.
+    Each distinct pair is scored once, and a partial aggregate keeps the best per text, so pairs are never shuffled. The texts are
+    a query set against all candidates, in blocks: the task of a block meets the texts one by one.
     """
     distinct = texts.select(F.coalesce(text, F.lit("")).alias("text")).distinct()
     names = candidates.select(F.col(candidate).alias("candidate"), F.col(order).alias("position"))
-    small = names.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    pairs = distinct.where("text <> ''").join(F.broadcast(names) if small else names)
+    rows, chars = names.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.char_length("candidate")), F.lit(0))).first()
+    if rows <= MOST_BROADCAST and chars <= MOST_CHARS:
+        pairs = distinct.where("text <> ''").join(F.broadcast(names))
+    else:
+        blocks = -(-rows // BLOCK)
+        dealt = names.withColumn("block", F.pmod(F.xxhash64("candidate", "position"), F.lit(blocks)))
+        asked = distinct.where("text <> ''").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        pairs = asked.join(dealt.hint("shuffle_hash"), "block").drop("block")
     score = T.combined_similarity(F.col("text"), F.col("candidate"))
     best = pairs.select("text", F.struct(score.alias("s"), (-F.col("position")).alias("p"), "candidate").alias("b")).groupBy("text").agg(F.max("b").alias("b"))
     hit = F.col("b.s") > min_score

@@ -66,7 +66,18 @@ def expand_middle(spark, d):
 
 def label_structure(spark, d):
     rows = A.image_quads(spark, d).select("image", F.posexplode(B.label_boxes(B.reading_order(F.col("quads")), F.lit(W), F.lit(H))).alias("pos", "b"))
-    return rows.groupBy("image").agg(F.count(F.lit(1)).alias("boxes"), F.count_if(F.col("b.source") == "created").alias("created"))
+    return _corners(rows.select("image", "pos", "b.source", "b.box"), "box", "image", "pos", "source", digits=3)
+
+
+def label_overlay(spark, d):
+    rows = A.quads(spark, d).withColumns({"text": F.concat(F.lit("t"), "idx"), "score": F.col("idx") / 8 + F.col("image") % 7 / 100 + 0.001, "source": F.when(F.col("idx") % 3 == 0, "created").otherwise("detected")})
+    rows = rows.withColumn("at", B.label_anchor(F.col("quad")))
+    return rows.select("image", "idx", B.label(F.col("text"), F.col("score")).alias("label"), F.round("at.x", 4).alias("x"), F.round("at.y", 4).alias("y"), B.label_colour(F.col("source")).alias("colour"), F.round(B.rotation(F.col("quad")), 4).alias("degrees"))
+
+
+def frame_downscale(spark, d):
+    p = A.table(spark, d, "part").select("p_partkey", (F.col("p_size") * 61 + 5).alias("h"), (F.col("p_partkey") % 2900 + 20).cast("int").alias("w"))
+    return _rounded(p.select("p_partkey", B.downscale(F.col("h"), F.col("w")).alias("factor")))
 
 
 def unclip_expand(spark, d):
@@ -115,7 +126,7 @@ def masked_mean(spark, d):
     return _rounded(e.select("vec_id", B.masked_mean(F.col("embedding"), mask).alias("score")))
 
 
-QUERIES = {f.__name__: f for f in (order_points, box_area_argmax, reading_order, region_classify, lower_region_top3, intermediate_box, expand_middle, label_structure, unclip_expand, rescale_clip, crop_filter, resize_shape, batch_assign, ctc_decode, threshold_mask, masked_mean)}
+QUERIES = {f.__name__: f for f in (order_points, box_area_argmax, reading_order, region_classify, lower_region_top3, intermediate_box, expand_middle, label_structure, label_overlay, frame_downscale, unclip_expand, rescale_clip, crop_filter, resize_shape, batch_assign, ctc_decode, threshold_mask, masked_mean)}
 
 _WITH = f"WITH {A.QUADS}"
 _ORD = f"{_WITH}, {A.ORDERED}"
@@ -133,11 +144,12 @@ def _clip(x: str, most: int) -> str:
 
 
 _NEXT = f"{_ORD}, nb AS (SELECT image, idx, o AS a, lead(o, 1) OVER w AS m, lead(o, 2) OVER w AS b FROM oq WINDOW w AS (PARTITION BY image ORDER BY idx))"
-_BETWEEN = f"""{_NEXT}, s1 AS (SELECT image, idx, a, m, least(m[1].y, m[2].y) - greatest(a[4].y, a[3].y) AS gap, least(a[1].x, a[4].x, m[1].x, m[4].x) AS l, {_dist('a[3]', 'a[4]')} AS n, ({_dist('a[4]', 'a[1]')} + {_dist('m[4]', 'm[1]')}) / 2 AS u, abs(m[1].y - a[4].y) AS h FROM nb WHERE m IS NOT NULL),
-s2 AS (SELECT *, (a[3].x - a[4].x) / n AS dx, (a[3].y - a[4].y) / n AS dy, CASE WHEN h < u THEN (u - h) / 2 ELSE 0 END AS e, 1.5 * greatest(h, u) AS wd FROM s1)
-SELECT image, idx, round(gap, 4) AS gap, round({_clip('l', W)}, 4) AS x0, round({_clip('a[4].y - e', H)}, 4) AS y0, round({_clip('l + dx * wd', W)}, 4) AS x1, round({_clip('a[4].y - e + dy * wd', H)}, 4) AS y1, round({_clip('l + dx * wd', W)}, 4) AS x2, round({_clip('m[1].y + e + dy * wd', H)}, 4) AS y2, round({_clip('l', W)}, 4) AS x3, round({_clip('m[1].y + e', H)}, 4) AS y3 FROM s2"""
+# A box between a and m, and m put right between a and b, from (image, idx, a, m, b): CTEs that end in bt and ex.
+_BETWEEN = f"""s1 AS (SELECT image, idx, a, m, least(m[1].y, m[2].y) - greatest(a[4].y, a[3].y) AS gap, least(a[1].x, a[4].x, m[1].x, m[4].x) AS l, {_dist('a[3]', 'a[4]')} AS n, ({_dist('a[4]', 'a[1]')} + {_dist('m[4]', 'm[1]')}) / 2 AS u, abs(m[1].y - a[4].y) AS h FROM nb WHERE m IS NOT NULL),
+s2 AS (SELECT *, (a[3].x - a[4].x) / n AS dx, (a[3].y - a[4].y) / n AS dy, CASE WHEN h < u THEN (u - h) / 2 ELSE 0 END AS e, 1.5 * greatest(h, u) AS wd FROM s1),
+bt AS (SELECT image, idx, gap, {_clip('l', W)} AS x0, {_clip('a[4].y - e', H)} AS y0, {_clip('l + dx * wd', W)} AS x1, {_clip('a[4].y - e + dy * wd', H)} AS y1, {_clip('l + dx * wd', W)} AS x2, {_clip('m[1].y + e + dy * wd', H)} AS y2, {_clip('l', W)} AS x3, {_clip('m[1].y + e', H)} AS y3 FROM s2)"""
 # The fixture's boxes all have sides, so directions are always there.
-_EXPAND = f"""{_NEXT}, t0 AS (SELECT image, idx, a, m, b, ({_dist('a[4]', 'a[1]')} + {_dist('b[4]', 'b[1]')}) / 2 AS u, {_dist('m[4]', 'm[1]')} AS h, {_dist('m[2]', 'm[1]')} AS w0, least(m[1].x, m[4].x) AS l, least(a[1].x, a[4].x, b[1].x, b[4].x) AS t FROM nb WHERE b IS NOT NULL),
+_EXPAND = f"""t0 AS (SELECT image, idx, a, m, b, ({_dist('a[4]', 'a[1]')} + {_dist('b[4]', 'b[1]')}) / 2 AS u, {_dist('m[4]', 'm[1]')} AS h, {_dist('m[2]', 'm[1]')} AS w0, least(m[1].x, m[4].x) AS l, least(a[1].x, a[4].x, b[1].x, b[4].x) AS t FROM nb WHERE b IS NOT NULL),
 t1 AS (SELECT *, h < u AS grow, l > t + 1 AS move, greatest(h, u) AS fh, CASE WHEN l > t + 1 THEN l - t ELSE 0 END AS mv, (m[2].x - m[1].x) / w0 AS ux, (m[2].y - m[1].y) / w0 AS uy FROM t0),
 t2 AS (SELECT *, m[1].x - ux * mv AS ax, m[1].y - uy * mv AS ay, m[4].x - ux * mv AS dx, m[4].y - uy * mv AS dy FROM t1),
 t3 AS (SELECT *, sqrt((dx - ax) * (dx - ax) + (dy - ay) * (dy - ay)) AS hl, CASE WHEN grow THEN (u - h) / 2 ELSE 0 END AS k FROM t2),
@@ -145,15 +157,27 @@ t4 AS (SELECT *, (dx - ax) / hl * k AS kx, (dy - ay) / hl * k AS ky FROM t3),
 t5 AS (SELECT *, ax - kx AS p1x, ay - ky AS p1y, m[2].x - kx AS p2x, m[2].y - ky AS p2y, m[3].x + kx AS p3x, m[3].y + ky AS p3y, dx + kx AS p4x, dy + ky AS p4y FROM t4),
 t6 AS (SELECT *, sqrt((p2x - p1x) * (p2x - p1x) + (p2y - p1y) * (p2y - p1y)) AS cw FROM t5),
 t7 AS (SELECT *, CASE WHEN cw < 1.5 * fh THEN (1.5 * fh - cw) / cw ELSE 0 END AS r FROM t6),
-t8 AS (SELECT *, (p2x - p1x) * r AS rx, (p2y - p1y) * r AS ry, grow OR move OR w0 < 1.5 * fh AS needed FROM t7)
-SELECT image, idx, """ + ", ".join(f"round(CASE WHEN needed THEN {_clip(f'p{i + 1}{c} + ' + (f'r{c}' if i in (1, 2) else '0'), W if c == 'x' else H)} ELSE m[{i + 1}].{c} END, 3) AS {c}{i}" for i in range(4) for c in "xy") + " FROM t8"
-_LABEL = f"""{_ORD}, k AS (SELECT q.image, q.idx, q.quad, o.o, {_REGION} AS region, row_number() OVER (PARTITION BY q.image ORDER BY quad[1].y, quad[1].x, q.idx) AS r FROM qd q JOIN oq o USING (image, idx)),
+t8 AS (SELECT *, (p2x - p1x) * r AS rx, (p2y - p1y) * r AS ry, grow OR move OR w0 < 1.5 * fh AS needed FROM t7),
+ex AS (SELECT image, idx, """ + ", ".join(f"CASE WHEN needed THEN {_clip(f'p{i + 1}{c} + ' + (f'r{c}' if i in (1, 2) else '0'), W if c == 'x' else H)} ELSE m[{i + 1}].{c} END AS {c}{i}" for i in range(4) for c in "xy") + " FROM t8)"
+_XY = [f"{c}{i}" for i in range(4) for c in "xy"]
+
+
+def _plain(quad: str) -> str:
+    return ", ".join(f"{quad}[{i + 1}].{c} AS {c}{i}" for i in range(4) for c in "xy")
+
+
+_LABEL = f"""{_ORD}, k AS (SELECT q.image, q.idx, q.quad, o.o, {_REGION} AS region, {_AREA} AS ar, row_number() OVER (PARTITION BY q.image ORDER BY quad[1].y, quad[1].x, q.idx) AS r FROM qd q JOIN oq o USING (image, idx)),
+up AS (SELECT image, quad FROM k WHERE region = 'upper' QUALIFY row_number() OVER (PARTITION BY image ORDER BY ar DESC, r) = 1),
 lw AS (SELECT image, o, row_number() OVER (PARTITION BY image ORDER BY {_TOP}, r) AS n, count(*) OVER (PARTITION BY image) AS c FROM k WHERE region = 'lower'),
-up AS (SELECT image, least(count(*), 1) AS u FROM k WHERE region = 'upper' GROUP BY image),
-gp AS (SELECT a.image, CASE WHEN least(b.o[1].y, b.o[2].y) - greatest(a.o[4].y, a.o[3].y) >= 2 THEN 1 ELSE 0 END AS made FROM lw a JOIN lw b ON a.image = b.image AND a.n = 1 AND b.n = 2 WHERE a.c = 2),
-lc AS (SELECT image, least(max(c), 3) AS l FROM lw GROUP BY image),
-im AS (SELECT DISTINCT image FROM k)
-SELECT image, CAST(coalesce(u, 0) + coalesce(l, 0) + coalesce(made, 0) AS BIGINT) AS boxes, CAST(coalesce(made, 0) AS BIGINT) AS created FROM im LEFT JOIN up USING (image) LEFT JOIN lc USING (image) LEFT JOIN gp USING (image) WHERE coalesce(u, 0) + coalesce(l, 0) > 0"""
+nb AS (SELECT image, least(any_value(c), 3) AS idx, any_value(o) FILTER (n = 1) AS a, any_value(o) FILTER (n = 2) AS m, any_value(o) FILTER (n = 3) AS b FROM lw GROUP BY image),
+{_BETWEEN}, {_EXPAND},
+al AS (
+  SELECT image, 0.0 AS place, 'detected' AS source, {_plain('quad')} FROM up
+  UNION ALL SELECT image, n, 'detected', {_plain('o')} FROM lw WHERE n <= 3 AND NOT (n = 2 AND c > 2)
+  UNION ALL SELECT image, 1.5, 'created', {', '.join(_XY)} FROM bt WHERE idx = 2 AND gap >= 2
+  UNION ALL SELECT image, 2.0, 'detected', {', '.join(_XY)} FROM ex
+)
+SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY place) - 1 AS INTEGER) AS pos, source, {', '.join(f'round({x}, 3) AS {x}' for x in _XY)} FROM al"""
 _GROWN = f"""{_ORD}, g0 AS (
   SELECT image, idx, ({_AREA.replace('quad', 'o')}) AS size, {' + '.join(_dist(f'o[{i + 1}]', f'o[{(i + 1) % 4 + 1}]') for i in range(4))} AS around, list_transform(o, lambda p: {{'x': trunc(p.x), 'y': trunc(p.y)}}) AS t FROM oq
 ), g1 AS (SELECT image, idx, t, size * 1.5 / around AS d, unnest([1, 2, 3, 4]) AS i FROM g0 WHERE size >= 1),
@@ -182,9 +206,11 @@ ORACLES = {
     "reading_order": f"{_WITH} SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY quad[1].y, quad[1].x, idx) - 1 AS INTEGER) AS pos, {_corners_sql('quad')} FROM qd",
     "region_classify": f"{_WITH} SELECT image, idx, {_REGION} AS region FROM qd",
     "lower_region_top3": f"{_WITH}, lw AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY {_TOP}, idx) - 1 AS pos FROM qd WHERE {_REGION} = 'lower') SELECT image, CAST(pos AS INTEGER) AS pos, {_corners_sql('quad')} FROM lw WHERE pos < 3",
-    "intermediate_box": _BETWEEN,
-    "expand_middle": _EXPAND,
+    "intermediate_box": f"{_NEXT}, {_BETWEEN} SELECT image, idx, round(gap, 4) AS gap, {', '.join(f'round({x}, 4) AS {x}' for x in _XY)} FROM bt",
+    "expand_middle": f"{_NEXT}, {_EXPAND} SELECT image, idx, {', '.join(f'round({x}, 3) AS {x}' for x in _XY)} FROM ex",
     "label_structure": _LABEL,
+    "label_overlay": f"{_WITH} SELECT image, idx, 't' || idx || ' (' || printf('%.2f', idx / 8 + image % 7 / 100 + 0.001) || ')' AS label, round(list_max(list_transform(quad, lambda p: p.x)) + 5, 4) AS x, round({_TOP} + 12, 4) AS y, CASE WHEN idx % 3 = 0 THEN 'red' ELSE 'green' END AS colour, round(degrees(atan2(quad[2].y - quad[1].y, quad[2].x - quad[1].x)), 4) AS degrees FROM qd",
+    "frame_downscale": "SELECT p_partkey, round(least(1280.0::DOUBLE / greatest(p_size * 61 + 5, p_partkey % 2900 + 20), 1.0), 6) AS factor FROM part",
     "unclip_expand": _GROWN,
     "rescale_clip": f"{_WITH} SELECT image, idx, " + ", ".join(f"round({_clip(f'quad[{i + 1}].{c} / {0.8 if c == "x" else 0.75}::DOUBLE', W if c == 'x' else H)}, 4) AS {c}{i}" for i in range(4) for c in "xy") + " FROM qd",
     "crop_filter": f"{_ORD}, cr AS ({_CROP}) SELECT image, idx, w, h FROM cr WHERE w >= 3 AND h >= 12 AND w >= h / 2",

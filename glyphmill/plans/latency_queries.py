@@ -99,9 +99,11 @@ def gradient(spark, d):
 def region_zip(spark, d):
     c = A.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     texts, rates = F.transform("t", lambda s: s["role"]), F.transform(F.filter("t", lambda s: s["turn"] % 3 != 2), lambda s: s["turn"] / 10)
-    none = F.array().cast("array<array<array<double>>>")
-    regions = readers.regions_of(texts, rates, none, none)
-    return c.select("conv_id", F.posexplode(regions).alias("pos", "r")).select("conv_id", "pos", "r.text", F.round("r.score", 6).alias("score"), F.size("r.bbox").alias("corners"))
+    polygon = lambda turn, corners, shift: F.transform(F.sequence(F.lit(1), corners), lambda i: F.array((turn + shift).cast("double"), i.cast("double")))
+    own = F.when(F.col("conv_id") % 3 != 0, F.transform(F.filter("t", lambda s: s["turn"] % 4 != 3), lambda s: polygon(s["turn"], (s["turn"] % 3 + 2).cast("int"), 0)))
+    detected = F.when(F.col("conv_id") % 7 != 0, F.transform("t", lambda s: polygon(s["turn"], F.lit(4), 100)))
+    regions = readers.regions_of(texts, rates, F.coalesce(own, F.array().cast("array<array<array<double>>>")), detected)
+    return c.select("conv_id", F.posexplode(regions).alias("pos", "r")).select("conv_id", "pos", "r.text", F.round("r.score", 6).alias("score"), F.size("r.bbox").alias("corners"), F.try_element_at("r.bbox", F.lit(1))[0].alias("x"))
 
 
 def ranged_percentiles(spark, d):
@@ -146,5 +148,5 @@ ORACLES = {
     "bar_chart_data": f"{_PAIR}, v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS metric, pipeline, {c} AS value FROM s WHERE pipeline IN ('click', 'view')" for c in ("avg_ms", "median_ms", "p95_ms", "p99_ms")) + ") SELECT metric, pipeline, round(value, 6) AS value, round((SELECT max(value) FROM v) * 1.2, 6) AS axis_max FROM v",
     "extension_filter": "SELECT page_id, lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) AS suffix FROM (SELECT page_id, url || ['.JPG', '.png', '.tif', '.webp', '', '.tiff.txt'][page_id % 6 + 1] AS path FROM pages) WHERE lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) IN ('.jpg', '.jpeg', '.png', '.bmp', '.tiff', '.webp')",
     "gradient_images": "SELECT CAST(i AS INTEGER) AS image, CAST(y AS INTEGER) AS y, 640 AS width, CAST(floor(255 * y / 480) AS INTEGER) AS grey FROM range(2) a(i), range(480) b(y)",
-    "region_zip": "WITH c AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS roles, list(turn / 10 ORDER BY turn, role, text) FILTER (turn % 3 <> 2) AS rates FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN trim(roles[i]) = '' THEN '<None>' ELSE trim(roles[i]) END AS text, round(coalesce(rates[i], 0.0), 6) AS score, 0 AS corners FROM (SELECT *, unnest(range(1, len(roles) + 1)) AS i FROM c)",
+    "region_zip": "WITH c AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS roles, list(turn / 10 ORDER BY turn, role, text) FILTER (turn % 3 <> 2) AS rates, list(turn ORDER BY turn, role, text) AS turns, list(turn ORDER BY turn, role, text) FILTER (turn % 4 <> 3) AS own FROM conversations GROUP BY conv_id), s AS (SELECT *, CASE WHEN conv_id % 3 <> 0 AND len(own) > 0 THEN list_transform(own, lambda k: {'corners': k % 3 + 2, 'x': k}) WHEN conv_id % 7 <> 0 THEN list_transform(turns, lambda k: {'corners': 4, 'x': k + 100}) ELSE [] END AS shapes FROM c) SELECT conv_id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN trim(roles[i]) = '' THEN '<None>' ELSE trim(roles[i]) END AS text, round(coalesce(rates[i], 0.0), 6) AS score, CAST(coalesce(shapes[i].corners, 0) AS INTEGER) AS corners, CAST(shapes[i].x AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, len(roles) + 1)) AS i FROM s)",
 }
