@@ -2,8 +2,9 @@
 
 For each language a bounded sample of its labelled text (CHARS characters for all languages together, shared out
 evenly, at most MOST_CHARS each) becomes a suffix automaton: the automaton that accepts exactly the substrings
-of that text. The sample is windows cut out of texts of any length. A text is parsed by each automaton into greedy longest matches; the language that needs the fewest
-phrases a character wins, ties to the language that sorts first.
+of that text. The sample is windows cut out of texts of any length. A text is parsed by each automaton into greedy longest matches. A
+phrase is a place in the sample, so it costs as many bits as the sample's length has; phrases are normalised by that, since larger samples
+give longer ones. The language with the fewest bits wins, ties to the language that sorts first.
 
 Automata are dense tables: a missing transition holds, negated, where the parse restarts from the root. Texts are
 cut into blocks of BLOCK characters that end a phrase, and all blocks of a slice walk all automata in lockstep,
@@ -101,6 +102,8 @@ class Parser:
         self._codes = None
         self.size = max(self.symbols.values(), default=0) + 1
         tables, rare, self.roots, self.ends, base = [], [], [], [], 0
+        #: Bits of a phrase of each language.
+        self.bits = np.log2([max(4, len(samples[k])) for k in self.languages])
         for language in self.languages:
             lower = np.frombuffer(samples[language].lower().encode("utf-32-le"), np.uint32)
             one, others = SuffixAutomaton(self._squeeze(self.codes[lower]).tolist()).table()
@@ -188,8 +191,9 @@ class Parser:
         phrases, letters = self.phrases(texts)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        best = phrases.argmin(axis=0)
-        ease = 1 / np.maximum(phrases, 1) ** 4
+        cost = np.maximum(phrases, 1) * self.bits[:, None]
+        best = cost.argmin(axis=0)
+        ease = (cost.min(axis=0) / cost) ** 4
         score = np.where(letters > 0, ease.max(axis=0) / ease.sum(axis=0), 0.0)
         return [self.languages[b] if n else "und" for b, n in zip(best.tolist(), letters.tolist(), strict=True)], score
 

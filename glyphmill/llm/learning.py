@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most about so many labelled rows of each class are read to fit a model.
-SAMPLE = 2500
+from glyphmill.llm.shared import written
+
+#: At most about so many labelled rows of each class, and so many bytes of text in all, are read to fit a model.
+SAMPLE, MOST_BYTES = 2500, 96 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -23,7 +25,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: dict[int, int] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(texts, labels, weights) of about most[class] rows of each class (SAMPLE unless given) outside the held-out fold, chosen by a hash of doc_id.
 
-    Only the chosen ids, bounded by `most`, are broadcast; their texts are read to the driver. Weights give each
+    Only the chosen ids, bounded by `most`, are broadcast; their texts are read to the driver, fewer of them where all together pass MOST_BYTES. Weights give each
     class its share among all labelled rows. Copies of a text count once.
     """
     most = most or {0: SAMPLE, 1: SAMPLE}
@@ -31,7 +33,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: d
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(F.coalesce(*(F.when(F.col("y") == y, part < most[y] / n) for y, n in counts.items()), F.lit(False))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    table: pa.Table = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("text").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id")).orderBy("doc_id").toArrow()
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("text").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id"))
+    rows = written(rows, "sample")
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if volume > MOST_BYTES:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1 << 30)) < (1 << 30) * (MOST_BYTES / volume))
+    table: pa.Table = rows.orderBy("doc_id").toArrow()
     texts, y = table.column("text").to_pylist(), np.array(table.column("y").to_pylist(), np.float64)
     got = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     total = max(1, sum(counts.values()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,12 @@ from glyphmill.workers import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), or one of our own where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir), or one of our own where it is unset and all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="glyphmill-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -36,31 +40,38 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
-_paths: list[str] = []
+class _Tables(threading.local):
+    """What `written` has left; each thread knows its own, so that pipelines side by side leave each other's tables alone."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_tables = _Tables()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there and no executor's loss costs a recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _paths.append(path)
+    _tables.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tables_written() -> int:
-    return len(_paths)
+    return len(_tables.paths)
 
 
 def forget(spark: SparkSession, since: int = 0, keep_last: int = 0) -> None:
-    """Delete what `written` has left, from the `since`-th table on, but for the last keep_last.
+    """Delete what `written` has left in this thread, from the `since`-th table on, but for the last keep_last.
 
     For callers who have written or read out a result: frames that still read those tables fail afterwards.
     """
-    gone = _paths[since : len(_paths) - keep_last]
+    gone = _tables.paths[since : len(_tables.paths) - keep_last]
     for path in gone:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del _paths[since : len(_paths) - keep_last]
+    del _tables.paths[since : len(_tables.paths) - keep_last]
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

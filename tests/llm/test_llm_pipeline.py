@@ -110,3 +110,54 @@ def test_run_is_the_stages(spark, data):
     rows = corpus_pipeline.run(spark, data)
     assert rows.count() > 0 and len(corpus_pipeline.STAGES) == 5
     assert set(spark.read.parquet(f"{data}/documents.parquet").columns) <= set(rows.columns)
+
+
+def write_tables(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard string, row string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "zero one two three four five six seven eight nine ten"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_every_stage_takes_an_empty_table(spark, tmp_path):
+    docs = write_tables(spark, tmp_path, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "sharding" or out.columns == docs.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    long = " ".join(f"w{i % 977}x{i % 61}" for i in range(40_000))
+    texts = [None, "", " \n", "one", "one", "a plain text of some words", long, "ü É 日本 " * 30]
+    rows = [(i, t, None, None if i % 2 else "s", None, "clash", "clash") for i, t in enumerate(texts)] + [(None, "without an id", "en", None, 3, "clash", "clash"), (3, "one", None, None, None, "clash", "clash")]
+    docs = write_tables(spark, tmp_path, rows)
+    expected = {"toxicity": len(rows), "near_duplicates": len(rows) - 1, "decontamination": len(rows), "sharding": len(rows)}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        if name != "sharding":
+            assert out.columns == docs.columns
+        if name in expected:
+            assert len(got) == expected[name], name
+        else:
+            assert {(r.doc_id, r.text) for r in got} <= {r[:2] for r in rows}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_stages_leave_clean_rows_and_take_planted_ones(spark, tmp_path):
+    item = "zero one two three four five six seven eight nine ten"
+    rows = [(1, f"before {item} after", "en", "s", 1, "x", "x"), (2, "You are an idiot and a moron, you stupid fool.", "en", "s", 1, "x", "x"), (3, 'She said: "you are an idiot", and nobody laughed.', "en", "s", 1, "x", "x"), (4, "I will not hurt you.", "en", "s", 1, "x", "x")]
+    docs = write_tables(spark, tmp_path, rows)
+    stages = dict(corpus_pipeline.STAGES)
+    assert {r.doc_id for r in stages["toxicity"](spark, docs, str(tmp_path)).collect()} == {1, 3, 4}
+    assert {r.doc_id for r in stages["decontamination"](spark, docs, str(tmp_path)).collect()} == {2, 3, 4}
+    assert {r.doc_id for r in stages["near_duplicates"](spark, docs, str(tmp_path)).collect()} == {1, 2, 3, 4}
+
+
+def test_pipelines_side_by_side_keep_their_tables(spark, data):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        counts = [f.result() for f in [pool.submit(lambda: corpus_pipeline.run(spark, data).count()) for _ in range(2)]]
+    assert counts[0] == counts[1] > 0
