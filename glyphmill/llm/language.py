@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.learning import held_out
-from glyphmill.llm.shared import lean, written
+from glyphmill.llm.shared import frugal, lean, written
 
 CHARS, MOST_CHARS = 160_000, 24_000
 SYMBOLS = 56
@@ -230,7 +230,7 @@ def identified(documents: DataFrame, parser: Parser) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
                     texts, at = [], i + 1
 
-    return lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

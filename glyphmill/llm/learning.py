@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,14 +42,6 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: d
     return texts, y, weights * len(y)
 
 
-def give_back() -> None:
-    """Return what a fit has freed to the operating system: the driver lives on, and its memory is bounded."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, prior: np.ndarray, strength: float = 1.0) -> np.ndarray:
     """Coefficients, the intercept last, held to `prior` by a squared penalty; Newton steps."""
     a = np.column_stack([x, np.ones(len(x))]) if len(x) else np.zeros((0, len(prior)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import components, lean, written
+from glyphmill.llm.shared import components, frugal, lean, written
 from glyphmill.llm.tokens import BASES, mix, span_hashes, words
 
 BANDS, ROWS = 50, 5
@@ -183,7 +183,7 @@ def near_groups(documents: DataFrame, size: int = 5, similarity: int = 75) -> Da
     if similarity < 75:
         raise ValueError("the bands are laid out for similarities of 75 percent or more")
     docs = lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    all_rows = written(docs.mapInArrow(_sketched(size), "doc_id long, row_hash long, n_shingles long, node long, bands array<long>"), "sketches")
+    all_rows = written(docs.mapInArrow(frugal(_sketched(size)), "doc_id long, row_hash long, n_shingles long, node long, bands array<long>"), "sketches")
     rows = all_rows.where("doc_id is not null and node is not null")
     # Copies leave before bands are dealt out; buckets are written, so that their join can split one that many near copies share.
     entries = written(rows.select("node", "bands").dropDuplicates(["node"]), "nodes").select("node", F.explode("bands").alias("bucket"))
@@ -193,9 +193,9 @@ def near_groups(documents: DataFrame, size: int = 5, similarity: int = 75) -> Da
     members = written(families.join(one, "node").select("node", F.col("root").alias("family"), "one.*"), "members")
     sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(sizes, "family").select("doc_id", "row_hash", "node", "family", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    sets = placed.join(docs.hint("merge"), ["doc_id", "row_hash"]).select("node", "family", "blocks", "block", "text").mapInArrow(_full_sets(size), "node long, family long, blocks int, block int, items binary")
+    sets = placed.join(docs.hint("merge"), ["doc_id", "row_hash"]).select("node", "family", "blocks", "block", "text").mapInArrow(frugal(_full_sets(size)), "node long, family long, blocks int, block int, items binary")
     cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "items")
-    links = cells.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(_links(similarity), "a long, b long")
+    links = cells.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(frugal(_links(similarity)), "a long, b long")
     groups = components(links)
     rooted = all_rows.drop("bands").join(groups, "node", "left").select("doc_id", "row_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root"))
     least = written(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")  # written, so that the join can split a hot group

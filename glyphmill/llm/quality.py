@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.learning import give_back, held_out, labelled_sample
-from glyphmill.llm.shared import lean
+from glyphmill.llm.learning import held_out, labelled_sample
+from glyphmill.llm.shared import frugal, give_back, lean
 from glyphmill.llm.tokens import Words, words
 
 BLOCK = 50
@@ -92,7 +92,7 @@ def with_statistics(documents: DataFrame) -> DataFrame:
                 stats = statistics(w)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(stats)), *(pa.array(c) for c in stats.T)], names=["doc_id", *STATS])
 
-    return lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{s} double" for s in STATS)]))
+    return lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), ", ".join(["doc_id long", *(f"{s} double" for s in STATS)]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, threshold) for each test

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import lean, written
+from glyphmill.llm.shared import frugal, lean, written
 from glyphmill.llm.tokens import BASES, Words, span_hashes, words
 
 PHRASE = 12
@@ -193,7 +193,7 @@ def _kept(min_words: int, with_text: bool):
 def duplicate_spans(documents: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, row_hash, lo, hi, ref, ref_lo): stretches of words that stand in an earlier document, maybe overlapping."""
     docs = lean(documents).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    blocks = written(docs.mapInArrow(_blocks(min_words), "doc_id long, row_hash long, phrase long, block long, lo int, hi int"), "blocks")
+    blocks = written(docs.mapInArrow(frugal(_blocks(min_words)), "doc_id long, row_hash long, phrase long, block long, lo int, hi int"), "blocks")
     # Sums are written before they are joined back: a join of two plain exchanges can split a phrase that fills a task.
     seen = written(blocks.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("block") != F.max("block")).alias("several")).where("first < last").drop("last"), "seen")
     shared = written(blocks.join(seen, "phrase"), "shared")
@@ -203,7 +203,7 @@ def duplicate_spans(documents: DataFrame, min_words: int = 50) -> DataFrame:
     # Blocks met for the first time: their windows may still stand in another block of the same phrase.
     edge = placed.where("several and doc_id = at.doc_id").groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     loose = edge.join(docs, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "spans", "text")
-    windows = written(loose.mapInArrow(_windows(min_words), "doc_id long, row_hash long, one long, two long, lo int"), "windows")
+    windows = written(loose.mapInArrow(frugal(_windows(min_words)), "doc_id long, row_hash long, one long, two long, lo int"), "windows")
     least = written(windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "lo")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last").drop("last"), "least")
     parts = windows.join(least, ["one", "two"]).where("doc_id > at.doc_id").select("doc_id", "row_hash", "lo", (F.col("lo") + min_words).alias("hi"), F.col("at.doc_id").alias("ref"), F.col("at.lo").alias("ref_lo"))
     return whole.unionByName(parts)
@@ -214,7 +214,7 @@ def dedup_substrings(documents: DataFrame, min_words: int = 50, with_text: bool
     # Rows of one id and text find the same spans: a set holds them once.
     spans = duplicate_spans(documents, min_words).groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("lo", "hi", "ref", "ref_lo")).alias("spans"))
     docs = lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    return docs.join(spans, ["doc_id", "row_hash"], "left").select("doc_id", "spans", "text").mapInArrow(_kept(min_words, with_text), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors {_FACTORS}")
+    return docs.join(spans, ["doc_id", "row_hash"], "left").select("doc_id", "spans", "text").mapInArrow(frugal(_kept(min_words, with_text)), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors {_FACTORS}")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

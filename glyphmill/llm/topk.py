@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import lean, written
+from glyphmill.llm.shared import frugal, lean, written
 
 BLOCK, GROUP, TILE, PACK, SEEDS = 1024, 8, 2048, 512, 4
 _PACKED = "part int, ids binary, dim int, rows binary, bounds binary"
@@ -230,7 +230,7 @@ def _near(tiles: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int) -> Data
 
 def surviving(vectors: DataFrame, queries: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tiles with thresholds, blocks, and the (tile, block, pairs) whose bound reaches the threshold of `pairs` queries of the tile."""
-    packed = lambda df, size: df.sortWithinPartitions("vec_id").mapInArrow(_packed(size), _PACKED)
+    packed = lambda df, size: df.sortWithinPartitions("vec_id").mapInArrow(frugal(_packed(size)), _PACKED)
     blocks = written(packed(lean(vectors), BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks")
     one_each = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
     tiles = written(packed(one_each, TILE).withColumn("tile", F.monotonically_increasing_id()), "tiles")

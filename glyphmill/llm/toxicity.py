@@ -42,8 +42,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.learning import give_back, held_out, labelled_sample, logistic
-from glyphmill.llm.shared import lean
+from glyphmill.llm.learning import held_out, labelled_sample, logistic
+from glyphmill.llm.shared import frugal, give_back, lean
 from glyphmill.llm.tokens import NOT_LETTERS, Words, mix, words
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK, END = range(8)
@@ -287,7 +287,7 @@ def scored(documents: DataFrame, grammar: Grammar) -> DataFrame:
                 sums = grammar.sums(w)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sums)), pa.array(grammar.scores(sums)), *(pa.array(c) for c in sums.T)], names=["doc_id", "score", *SUMS])
 
-    return lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long, score double", *(f"{s} double" for s in SUMS)]))
+    return lean(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), ", ".join(["doc_id long, score double", *(f"{s} double" for s in SUMS)]))
 
 
 def keep_clean(documents: DataFrame, grammar: Grammar, threshold: float = 0.3) -> DataFrame:
@@ -302,7 +302,7 @@ def keep_clean(documents: DataFrame, grammar: Grammar, threshold: float = 0.3) -
                 good = grammar.scores(grammar.sums(w)) < threshold
                 yield batch.slice(row, len(good)).filter(pa.array(good))
 
-    return lean(documents).mapInArrow(run, kinds)
+    return lean(documents).mapInArrow(frugal(run), kinds)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
