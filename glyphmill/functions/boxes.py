@@ -313,9 +313,10 @@ def masked_mean(values: Column, mask: Column) -> Column:
     return total / (size + 1e-6)
 
 
-def recognition_width(ratio: Column, height: int = 48, most: int = 320) -> Column:
-    """Width of a batch whose widest crop has this ratio of width to height."""
-    return F.least(F.floor(ratio * height), F.lit(most)).cast("int")
+def recognition_width(ratio: Column, height: int = 48, most: int | None = 320) -> Column:
+    """Width of a batch whose widest crop has this ratio of width to height; for live frames 32 a ratio of 1, without a limit."""
+    wide = F.floor(ratio * height)
+    return (F.least(wide, F.lit(most)) if most else wide).cast("int")
 
 
 def downscale(height: Column, width: Column, longest: int = 1280) -> Column:

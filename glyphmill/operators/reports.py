@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from glyphmill.operators.accuracy import FIELDS
 from glyphmill.operators.latency import side_by_side, winner
 
+#: The rows of the speed report, and how each is shown.
 _SPEED = (("Number of Images", "num_images", "%.0f"), ("Average Time (ms)", "avg_ms", "%.2f"), ("Median Time (ms)", "median_ms", "%.2f"), ("Min Time (ms)", "min_ms", "%.2f"), ("Max Time (ms)", "max_ms", "%.2f"), ("Std Dev (ms)", "std_ms", "%.2f"), ("P95 Time (ms)", "p95_ms", "%.2f"), ("P99 Time (ms)", "p99_ms", "%.2f"), ("Throughput (FPS)", "throughput_fps", "%.2f"), ("Total Time (s)", "total_time_s", "%.2f"), ("Avg Detection (ms)", "avg_detection_ms", "%.2f"), ("Avg Recognition (ms)", "avg_recognition_ms", "%.2f"))
-#: Heads of the field blocks of the accuracy report.
+#: Heads of the field blocks of the accuracy report.
 _HEADS = {"color": "COLOR", "productCode": "PRODUCT CODE", "size": "SIZE", "positionQuantity": "POSITION/QUANTITY"}
 
 
@@ -50,6 +51,7 @@ def accuracy_values(field_stats: DataFrame, overall: DataFrame, first: str, seco
 
 def accuracy_report(values: DataFrame, first: str, second: str) -> DataFrame:
     """The values as text lines in order, with the heads of their blocks."""
+    #: The names of the lines.
     names = {"exact_pct": "  Exact Match (%)", "acceptable_pct": "  Acceptable (>=0.90) (%)", "avg_score": "  Avg Score"}
     name = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("metric")]
     text = lambda c: F.when(F.col("metric") == "avg_score", F.format_string("%.3f", c)).otherwise(F.format_string("%.1f%%", c))

@@ -106,7 +106,7 @@ def resize_shape(spark, d):
 def batch_assign(spark, d):
     rows = once(A.quads(spark, d), "s", B.crop_size(B.order_points(F.col("quad")))).select((F.col("image") % 100).alias("stream"), "image", "idx", (F.col("s.w") / F.greatest("s.h", F.lit(1))).alias("ratio"))
     done = L.batched(rows, ("ratio", "image", "idx"), "stream")
-    return _rounded(done.select("image", "idx", "batch", B.recognition_width(F.col("max_ratio")).alias("width"), "max_ratio"))
+    return _rounded(done.select("image", "idx", "batch", B.recognition_width(F.col("max_ratio")).alias("width"), B.recognition_width(F.col("max_ratio"), 32, None).alias("live_width"), "max_ratio"))
 
 
 def ctc_decode(spark, d):
@@ -215,7 +215,7 @@ ORACLES = {
     "rescale_clip": f"{_WITH} SELECT image, idx, " + ", ".join(f"round({_clip(f'quad[{i + 1}].{c} / {0.8 if c == "x" else 0.75}::DOUBLE', W if c == 'x' else H)}, 4) AS {c}{i}" for i in range(4) for c in "xy") + " FROM qd",
     "crop_filter": f"{_ORD}, cr AS ({_CROP}) SELECT image, idx, w, h FROM cr WHERE w >= 3 AND h >= 12 AND w >= h / 2",
     "resize_shape": f"SELECT p_partkey, {_resize('max')}, {_resize('min')} FROM (SELECT p_partkey, p_size * 37 + 5 AS h, CAST(p_partkey % 1900 + 20 AS INTEGER) AS w FROM part)",
-    "batch_assign": f"{_ORD}, cr AS ({_CROP}), rt AS (SELECT image, idx, image % 100 AS stream, w / greatest(h, 1) AS ratio FROM cr), nm AS (SELECT *, CAST((row_number() OVER (PARTITION BY stream ORDER BY ratio, image, idx) - 1) // 6 AS INTEGER) AS batch FROM rt) SELECT image, idx, batch, CAST(least(floor(max(ratio) OVER (PARTITION BY stream, batch) * 48), 320) AS INTEGER) AS width, round(max(ratio) OVER (PARTITION BY stream, batch), 6) AS max_ratio FROM nm",
+    "batch_assign": f"{_ORD}, cr AS ({_CROP}), rt AS (SELECT image, idx, image % 100 AS stream, w / greatest(h, 1) AS ratio FROM cr), nm AS (SELECT *, CAST((row_number() OVER (PARTITION BY stream ORDER BY ratio, image, idx) - 1) // 6 AS INTEGER) AS batch FROM rt) SELECT image, idx, batch, CAST(least(floor(max(ratio) OVER (PARTITION BY stream, batch) * 48), 320) AS INTEGER) AS width, CAST(floor(max(ratio) OVER (PARTITION BY stream, batch) * 32) AS INTEGER) AS live_width, round(max(ratio) OVER (PARTITION BY stream, batch), 6) AS max_ratio FROM nm",
     "ctc_decode": f"WITH {_STEPS}, bs AS (SELECT vec_id, list_transform(steps, lambda r: list_position(r, list_max(r)) - 1) AS c, list_transform(steps, lambda r: CAST(list_max(r) AS DOUBLE)) AS s FROM st), kp AS (SELECT vec_id, c, s, list_filter(range(1, 9), lambda i: c[i] <> 0 AND c[i] <> (CASE WHEN i = 1 THEN 0 ELSE c[i - 1] END)) AS k FROM bs) SELECT vec_id, array_to_string(list_transform(k, lambda i: coalesce(['a', 'b', 'c', 'd', 'e', 'f'][c[i]], '')), '') AS text, round(CASE WHEN len(k) > 0 THEN list_sum(list_transform(k, lambda i: s[i])) / len(k) ELSE 0 END, 6) AS score FROM kp",
     "threshold_mask": f"WITH {_STEPS} SELECT vec_id, array_to_string(list_transform(steps, lambda r: array_to_string(list_transform(r, lambda v: CASE WHEN CAST(v AS DOUBLE) > 0.1::DOUBLE THEN '1' ELSE '0' END), '')), '/') AS mask FROM st",
     "masked_mean": "SELECT vec_id, round(coalesce(list_sum(list_transform(list_filter(embedding, lambda v: CAST(v AS DOUBLE) > 0.05::DOUBLE), lambda v: CAST(v AS DOUBLE))), 0) / (len(list_filter(embedding, lambda v: CAST(v AS DOUBLE) > 0.05::DOUBLE)) + 1e-6), 6) AS score FROM embeddings",

@@ -10,6 +10,7 @@ from glyphmill.operators import matching as M
 from glyphmill.operators import reports as R
 from glyphmill.plans import adapters as A
 from glyphmill.plans.latency_queries import _rounded
+from glyphmill.sql import register_functions
 
 
 def _names(spark, d):
@@ -68,6 +69,12 @@ def is_match(spark, d):
     return scored.select("p_partkey", (F.col("score") >= 0.8).alias("matches"), T.match_class(F.col("score"), F.col("text") != "").alias("kind"))
 
 
+def sql_scores(spark, d):
+    register_functions(spark)
+    scored = spark.sql("SELECT p_partkey, text_normal(text) AS normal, combined_similarity(text, p_name) AS score, text <> '' AS has FROM {rows}", rows=_damaged(spark, d))
+    return _rounded(scored.selectExpr("p_partkey", "normal", "score", "match_class(score, has) AS kind"))
+
+
 def evaluate_images(spark, d):
     return _rounded(E.evaluate(A.images(spark, d), F.col("pipeline")))
 
@@ -110,6 +117,7 @@ QUERIES = {
     "combined_similarity": combined_similarity,
     "best_match": best_match,
     "is_match": is_match,
+    "sql_scores": sql_scores,
     "gt_join_ocr": gt_join_ocr,
     "format_results": format_results,
     "evaluate_images": evaluate_images,
@@ -157,6 +165,7 @@ ORACLES = {
     "combined_similarity": f"WITH {_UPPER}, {A.similarity_ctes('pr')} SELECT a, b, round(greatest(levsim, jw), 6) AS similarity FROM pr JOIN jw USING (x, y)",
     "best_match": f"WITH {_DAMAGED}, nm AS (SELECT DISTINCT p_name FROM part), dt AS (SELECT DISTINCT text FROM dm), pr AS (SELECT text, nm.p_name AS c, upper(trim(text)) AS x, upper(trim(nm.p_name)) AS y FROM dt, nm WHERE text <> ''), {A.similarity_ctes('pr')}, b AS (SELECT text, c, greatest(levsim, jw) AS s FROM pr JOIN jw USING (x, y) QUALIFY row_number() OVER (PARTITION BY text ORDER BY greatest(levsim, jw) DESC, CAST('0x' || substr(md5(c), 1, 12) AS BIGINT), c DESC) = 1) SELECT dt.text, CASE WHEN b.s > 0.5 THEN b.c ELSE '' END AS match, round(CASE WHEN b.s > 0.5 THEN b.s WHEN b.s IS NULL THEN 0.0 ELSE 0.5 END, 6) AS score FROM dt LEFT JOIN b USING (text)",
     "is_match": f"WITH {_DAMAGED}, pr AS (SELECT *, upper(trim(text)) AS x, upper(trim(p_name)) AS y FROM dm), {A.similarity_ctes('pr')}, g AS (SELECT p_partkey, text, greatest(levsim, jw) AS s FROM pr JOIN jw USING (x, y)) SELECT p_partkey, s >= 0.8 AS matches, CASE WHEN text = '' THEN 'missing' WHEN s >= 1 THEN 'exact' WHEN s >= 0.9 THEN 'acceptable' ELSE 'rejected' END AS kind FROM g",
+    "sql_scores": f"WITH {_DAMAGED}, pr AS (SELECT *, upper(trim(text)) AS x, upper(trim(p_name)) AS y FROM dm), {A.similarity_ctes('pr')}, g AS (SELECT p_partkey, text, greatest(levsim, jw) AS s FROM pr JOIN jw USING (x, y)) SELECT p_partkey, {_NORMAL.format('text')} AS normal, round(s, 6) AS score, CASE WHEN text = '' THEN 'missing' WHEN s >= 1 THEN 'exact' WHEN s >= 0.9 THEN 'acceptable' ELSE 'rejected' END AS kind FROM g",
     "gt_join_ocr": f"WITH {A.IMAGES} SELECT base, e[3] AS size, e[4] AS positionQuantity, array_to_string(t, '|') AS texts FROM im WHERE e[3] <> '7' AND e[4] <> '3/9'",
     "format_results": f"WITH {A.IMAGES} SELECT base, array_to_string(list_transform(range(1, len(t) + 1), lambda i: (CASE WHEN trim(t[i]) = '' THEN '<None>' ELSE t[i] END) || ' (' || printf('%.4f', (i - 1) * 0.217::DOUBLE + length(base) * 0.0131::DOUBLE + 0.00002::DOUBLE) || ')'), ', ') AS results FROM im",
     "evaluate_images": _EVALUATED + ", " + _OVER + " SELECT w.base || '.png' AS filename, w.pipeline, " + ", ".join(f"max(gt) FILTER (f = {i}) AS gt_{n}, max(ocr) FILTER (f = {i}) AS ocr_{n}, round(max(s) FILTER (f = {i}), 6) AS score_{n}, max(kind) FILTER (f = {i}) AS match_type_{n}" for i, n in _KEYS.items()) + ", round(max(ov.score), 6) AS avg_accuracy_score, bool_and(ov.ex) AS all_exact, bool_and(ov.ac) AS all_acceptable FROM wide w JOIN ov USING (base) GROUP BY 1, 2",
