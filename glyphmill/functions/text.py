@@ -55,8 +55,8 @@ def bound(build, *columns: Column) -> Column:
 def jaro_winkler(a: Column, b: Column, prefix_scale: float = 0.1) -> Column:
     """Jaro-Winkler with half transpositions kept and the prefix bonus at every score.
 
-    Each character of a, from the left, takes the first free equal character of b within the window; the fold's
-    state is the list of places taken, 0 for none.
+    Each character of a, from the left, takes the first free equal character of b within the window. The fold's state is b
+    with taken characters struck out (by U+FFFF, which no text has) and the list of places taken, 0 for none.
     """
     return bound(lambda x, y: _jaro_winkler(x, y, prefix_scale), F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
@@ -65,12 +65,16 @@ def _jaro_winkler(a: Column, b: Column, prefix_scale: float) -> Column:
     n, m = F.char_length(a), F.char_length(b)
     window = F.greatest(F.floor(F.greatest(n, m) / 2).cast("int") - 1, F.lit(0))
 
-    def take(taken: Column, i: Column) -> Column:
-        lo, hi = F.greatest(i - window, F.lit(1)), F.least(i + window, m)
-        free = F.filter(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")), lambda j: (F.substring(b, j, F.lit(1)) == F.substring(a, i, F.lit(1))) & ~F.array_contains(taken, j))
-        return F.concat(taken, F.array(F.coalesce(F.try_element_at(free, F.lit(1)), F.lit(0))))
+    def take(state: Column, i: Column) -> Column:
+        first = F.position(F.substring(a, i, F.lit(1)), state["free"], F.greatest(i - window, F.lit(1)))
 
-    taken = F.aggregate(F.sequence(F.lit(1), n), F.array().cast("array<int>"), take)
+        def strike(j: Column) -> Column:
+            hit = F.when(j <= i + window, j).otherwise(0)
+            return F.struct(F.when((j > 0) & (j <= i + window), F.overlay(state["free"], F.lit("\uffff"), j, F.lit(1))).otherwise(state["free"]).alias("free"), F.concat(state["places"], F.array(hit)).alias("places"))
+
+        return bound(strike, first)
+
+    taken = F.aggregate(F.sequence(F.lit(1), n), F.struct(b.alias("free"), F.array().cast("array<int>").alias("places")), take)["places"]
 
     def score(taken: Column) -> Column:
         places = F.filter(taken, lambda j: j > 0)

@@ -99,9 +99,12 @@ def rolling_mean(samples: DataFrame, order: tuple[str, ...] = ("ts", "event_id")
     return rows.withColumn("fps", F.when(F.col("mean_ms") > 0, 1000 / F.col("mean_ms")))
 
 
-def batched(rows: DataFrame, order: tuple[str, ...], by: str, size: int = 6, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Batch number by rank within each group, and the greatest ratio of each batch. Groups of over rows_per_range rows are ranked in ranges."""
-    usual, hot = hot_apart(rows, by, rows_per_range)
+def batched(rows: DataFrame, order: tuple[str, ...], by: str, size: int = 6, rows_per_range: int = ROWS_PER_RANGE, keys: DataFrame | None = None) -> DataFrame:
+    """Batch number by rank within each group, and the greatest ratio of each batch. Groups of over rows_per_range rows are ranked in ranges.
+
+    keys: the groups of the rows, in a frame that is cheaper to count.
+    """
+    usual, hot = hot_apart(rows, by, rows_per_range, keys)
     ranked = usual.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
     if hot is not None:
         placed, _ = numbered(hot, (by, *order), "rank", rows_per_range)

@@ -69,9 +69,12 @@ def exact_percentiles(df: DataFrame, by: str, value: str, percents: tuple[float,
     return ends.select(F.col("g").alias(by), "percent", (F.col("lo") + (F.col("rank") - F.floor("rank")) * (F.col("hi") - F.col("lo"))).alias(value))
 
 
-def hot_apart(df: DataFrame, by: str, rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, DataFrame | None]:
-    """df without, and with only, the rows of groups of over rows_per_range rows; None where there is no such group."""
-    large = df.groupBy(F.col(by).alias("__of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_range).select("__of").collect()  # at most rows / rows_per_range
+def hot_apart(df: DataFrame, by: str, rows_per_range: int = ROWS_PER_RANGE, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """df without, and with only, the rows of groups of over rows_per_range rows; None where there is no such group.
+
+    keys: the same groups in a frame that is cheaper to count, where df is dear.
+    """
+    large = (df if keys is None else keys).groupBy(F.col(by).alias("__of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_range).select("__of").collect()  # at most rows / rows_per_range
     if not large:
         return df, None
     keys = df.sparkSession.createDataFrame(large, df.select(F.col(by).alias("__of")).schema)

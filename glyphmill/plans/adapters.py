@@ -39,7 +39,8 @@ b AS (SELECT CAST(l_orderkey AS VARCHAR) AS filename, round(sum(l_extendedprice)
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """base, four expected values and damaged texts in another order, one row a part; every 13th part lacks a value."""
-    p = table(spark, sf_dir, "part")
+    # The table is one small file, so one task; scoring is dear, so its rows are dealt out.
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size").repartition(spark.sparkContext.defaultParallelism)
     k = F.col("p_partkey")
     value = {"color": F.split("p_name", " ")[0], "productCode": F.col("p_brand"), "size": F.col("p_size").cast("string"), "positionQuantity": F.concat((k % 9 + 1).cast("string"), F.lit("/9"))}
     color = F.when(k % 5 == 0, F.expr("substring(split(p_name, ' ')[0], 1, length(split(p_name, ' ')[0]) - 1)")).otherwise(value["color"])

@@ -105,7 +105,7 @@ def resize_shape(spark, d):
 
 def batch_assign(spark, d):
     rows = once(A.quads(spark, d), "s", B.crop_size(B.order_points(F.col("quad")))).select((F.col("image") % 100).alias("stream"), "image", "idx", (F.col("s.w") / F.greatest("s.h", F.lit(1))).alias("ratio"))
-    done = L.batched(rows, ("ratio", "image", "idx"), "stream")
+    done = L.batched(rows, ("ratio", "image", "idx"), "stream", keys=A.table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("stream")))
     return _rounded(done.select("image", "idx", "batch", B.recognition_width(F.col("max_ratio")).alias("width"), B.recognition_width(F.col("max_ratio"), 32, None).alias("live_width"), "max_ratio"))
 
 
