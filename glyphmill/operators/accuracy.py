@@ -80,6 +80,15 @@ def field_statistics(accuracy: DataFrame) -> DataFrame:
     )
 
 
+def both_statistics(accuracy: DataFrame) -> DataFrame:
+    """(pipeline, field, exact_pct, acceptable_pct, avg_score) of each field and of `overall`, in one pass over the images."""
+    kind = lambda f: F.col(f"match_type_{f}")
+    rows = [F.struct(F.lit(f).alias("field"), F.col(f"score_{f}").alias("score"), (kind(f) == "exact").alias("exact"), kind(f).isin("exact", "acceptable").alias("fine")) for f in FIELDS]
+    rows.append(F.struct(F.lit("overall").alias("field"), F.col("avg_accuracy_score").alias("score"), F.col("all_exact").alias("exact"), F.col("all_acceptable").alias("fine")))
+    share = lambda c: F.avg(F.col(c).cast("double")) * 100
+    return accuracy.select("pipeline", F.inline(F.array(*rows))).groupBy("pipeline", "field").agg(share("exact").alias("exact_pct"), share("fine").alias("acceptable_pct"), F.avg("score").alias("avg_score"))
+
+
 def overall_statistics(accuracy: DataFrame) -> DataFrame:
     return accuracy.groupBy("pipeline").agg(
         F.count(F.lit(1)).alias("num_images"),

@@ -34,9 +34,13 @@ def speed_report(stats: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def accuracy_values(field_stats: DataFrame, overall: DataFrame, first: str, second: str) -> DataFrame:
-    """(row_no, block, metric, first, second, winner, delta) as numbers, missing ones 0; fields in order, then OVERALL."""
+    """Two runs' statistics side by side, see `compared`."""
+    return compared(field_stats.select("pipeline", "field", "exact_pct", "acceptable_pct", "avg_score").unionByName(overall.select("pipeline", F.lit("overall").alias("field"), F.col("all_exact_pct").alias("exact_pct"), F.col("all_acceptable_pct").alias("acceptable_pct"), "avg_score")), first, second)
+
+
+def compared(both: DataFrame, first: str, second: str) -> DataFrame:
+    """(row_no, field, metric, first, second, winner, delta) as numbers, missing ones 0; fields in order, then overall. both: as accuracy.both_statistics."""
     zero = lambda c: F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0))
-    both = field_stats.select("pipeline", "field", "exact_pct", "acceptable_pct", "avg_score").unionByName(overall.select("pipeline", F.lit("overall").alias("field"), F.col("all_exact_pct").alias("exact_pct"), F.col("all_acceptable_pct").alias("acceptable_pct"), "avg_score"))
     metrics = ("exact_pct", "acceptable_pct", "avg_score")
     sides = both.groupBy("field").agg(*(zero(F.max(F.when(F.col("pipeline") == side, F.col(m)))).alias(f"{tag}_{m}") for tag, side in (("first", first), ("second", second)) for m in metrics))
     places = {f: i for i, f in enumerate([*FIELDS, "overall"])}

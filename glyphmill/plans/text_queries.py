@@ -93,7 +93,7 @@ def overall_stats(spark, d):
 
 def accuracy_winner(spark, d):
     accuracy = E.evaluate(A.images(spark, d), F.col("pipeline"))
-    return _rounded(R.accuracy_values(E.field_statistics(accuracy), E.overall_statistics(accuracy), "even", "odd"))
+    return _rounded(R.compared(E.both_statistics(accuracy), "even", "odd"))
 
 
 def gt_join_ocr(spark, d):

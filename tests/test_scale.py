@@ -48,11 +48,17 @@ def tables(spark):
     fields = ("color", "productCode", "size", "positionQuantity")
     images = [("i1", *("SAND", "1800", "XL", "1/2"), ["sand", "1800", "xl", "1/2"], "first"), ("i1", *("SAND", "1800", "XL", "1/2"), ["sond"], "second")]
     table = E.evaluate(spark.createDataFrame(images, "base string, " + ", ".join(f"{f} string" for f in fields) + ", texts array<string>, pipeline string"), F.col("pipeline"))
-    return E.field_statistics(table), E.overall_statistics(table)
+    return E.field_statistics(table), E.overall_statistics(table), E.both_statistics(table)
+
+
+def test_one_pass_gives_both_statistics(spark):
+    fields, overall, both = tables(spark)
+    two = reports.accuracy_values(fields, overall, "first", "second").orderBy("row_no").collect()
+    assert two == reports.compared(both, "first", "second").orderBy("row_no").collect() and len(two) == 15
 
 
 def test_accuracy_for_consoles_and_charts(spark):
-    fields, overall = tables(spark)
+    fields, overall, _ = tables(spark)
     lines = [r.line for r in reports.accuracy_summary(fields, overall, "first", "second").orderBy("row_no").collect()]
     assert lines[1].strip("=") == " ACCURACY COMPARISON SUMMARY " and len(lines[1]) == 75 and lines[5].split() == ["Images", "Evaluated", "1", "1", "-"]
     assert lines[7] == "COLOR:" and lines[8].split() == ["-", "Exact", "Match", "(%)", "100.0%", "0.0%", "first"] and lines[11] == "-" * 75
