@@ -153,8 +153,14 @@ def unclip(quad: Column, ratio: float = 1.5) -> Column:
                 at = lambda i, j: point(a[i] * u["x"] - b[j] * u["y"], a[i] * u["y"] + b[j] * u["x"])
                 return snapped(F.array(at("lo", "lo"), at("hi", "lo"), at("hi", "hi"), at("lo", "hi")))
 
+            def least(s: Column) -> Column:
+                """Of the rectangles along all sides; a side parallel to the one opposite, which came before, gives no other."""
+                turned = lambda p, q: (p["x"] * q["y"] != p["y"] * q["x"]) | ((q["x"] == 0) & (q["y"] == 0))
+                other = [F.when(turned(s[i], s[i - 2]), s[i]) for i in (2, 3)]
+                return F.array_min(F.array_compact(F.transform(F.array_compact(F.array(s[0], s[1], *other)), along)))
+
             sides = F.array(*(F.struct(F.lit(i).alias("i"), (t[(i + 1) % 4]["x"] - t[i]["x"]).alias("x"), (t[(i + 1) % 4]["y"] - t[i]["y"]).alias("y")) for i in range(4)))
-            return F.when(size >= 1, bound(lambda r: F.when(r.isNotNull(), corners(r)), F.array_min(F.array_compact(F.transform(sides, along)))))
+            return F.when(size >= 1, bound(lambda r: F.when(r.isNotNull(), corners(r)), bound(least, sides)))
 
         around = sum((distance(p[i], p[(i + 1) % 4]) for i in range(4)), F.lit(0.0))
         whole = F.transform(q, lambda c: point(F.signum(c["x"]) * F.floor(F.abs(c["x"])), F.signum(c["y"]) * F.floor(F.abs(c["y"]))))

@@ -112,6 +112,39 @@ def test_growing_by_hand(spark):
     assert np.allclose(sides, 800**0.5 + 2 * 800 / (4 * 800**0.5)) and np.allclose(np.mean(quad, axis=0), 20)
 
 
+def rectangle_by_hand(quad, ratio):
+    """Area of the least rectangle, along any side, around the quad's whole-pixel corners and a disc."""
+    q = np.array(quad, float)
+    x, y = q.T
+    size = abs(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y)) / 2
+    d = size * ratio / np.hypot(*(np.roll(q, -1, axis=0) - q).T).sum()
+    t, found = np.trunc(q), []
+    for side in np.roll(t, -1, axis=0) - t:
+        n = np.hypot(*side)
+        if n:
+            u = side / n
+            a, b = t @ u, t @ np.array([-u[1], u[0]])
+            found.append((np.ptp(a) + 2 * d) * (np.ptp(b) + 2 * d))
+    return min(found)
+
+
+def test_rectangles_lie_along_the_best_side(spark):
+    from glyphmill.functions import boxes as B
+
+    rng = np.random.default_rng(3)
+    quads = [[(10.1, 5.2), (10.9, 5.9), (30.0, 25.0), (0.0, 25.0)], [(5.2, 5.1), (40.3, 9.7), (38.0, 22.0), (3.0, 18.5)]]
+    for _ in range(60):
+        c, w, h, turn = rng.uniform(40, 90, 2), *rng.uniform(4, 40, 2), rng.uniform(-0.6, 0.6)
+        corners = np.array([(-w, -h), (w, -h), (w, h), (-w, h)]) / 2 + rng.uniform(-1, 1, (4, 2))
+        quads.append([tuple(map(float, p)) for p in corners @ np.array([[np.cos(turn), np.sin(turn)], [-np.sin(turn), np.cos(turn)]]) + c])
+    table = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in q]) for i, q in enumerate(quads)], f"i int, q {B.QUAD}")
+    for r in table.select("i", B.unclip(F.col("q"), 1.5).alias("u")).collect():
+        u = np.array([(p.x, p.y) for p in r.u])
+        upright = np.isclose(u[0][0], u[3][0]) or np.isclose(u[0][1], u[3][1])
+        area = np.hypot(*(u[1] - u[0])) * np.hypot(*(u[3] - u[0]))
+        assert upright or np.isclose(area, rectangle_by_hand(quads[r.i], 1.5)), quads[r.i]
+
+
 def test_thin_texts_survive(spark):
     page = np.zeros((192, 224), np.uint8)
     page[40:42, 32:192] = 255  # two rows high: under three before it is grown, over three after
